@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "license_scan", "language_id", "mixing", "sharding", "token_counts", "chat_format",
+    "license_scan", "language_id", "near_dedup", "mixing", "sharding",
+    "packing", "token_counts", "exact_topk", "quality_rules", "chat_format",
 )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one bucket of a ranking; a bucket is sorted by one task.
-RANK_BUCKET_ROWS = 20_000
+RANK_BUCKET_ROWS = 4_096
 #: Rows of one slice of an Arrow pass, so that one batch of long texts stays small.
 SLICE_ROWS = 256
 

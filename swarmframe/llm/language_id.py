@@ -174,11 +174,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
 
 def keep_identified(docs: DataFrame, model: LanguageModel, languages: frozenset[str] | None = None) -> DataFrame:
     """The documents whose language is known (and among ``languages``, if given), as they were."""
-    own = docs.columns
-    clean = docs.select(*[F.col(f"`{c}`") for c in own])
-    scored = identify_languages(clean, model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    scored = identify_languages(rows, model)
     good = F.col("lang_pred") != UNKNOWN
-    return scored.where(good & F.col("lang_pred").isin(*languages) if languages else good).select(*own)
+    return scored.where(good & F.col("lang_pred").isin(*languages) if languages else good).select("row.*")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RANK_BUCKET_ROWS, group_key, md5_order, rank_within, table
+from .common import group_key, md5_order, rank_within, table
 
 SHARDS, SEED = 16, 11
+#: Rows of one range of fractional ranks; a range is sorted by one task.
+RANGE_ROWS = 20_000
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -36,7 +38,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     total = sum(counts.values())
     ranked = rank_within(rows, "_source", "_order", ["doc_id", "size", "text_crc32"], counts)
     fraction = (2 * F.col("rank") + 1) / (2 * F.col("group_rows"))
-    ranges = max(1, math.ceil(total / RANK_BUCKET_ROWS))  # fractions are even, so ranges hold nearly equal numbers of rows
+    ranges = max(1, math.ceil(total / RANGE_ROWS))  # fractions are even, so ranges hold nearly equal numbers of rows
     spread = ranked.withColumn("_fraction", fraction).withColumn("_range", F.floor(F.col("_fraction") * ranges).cast("long"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

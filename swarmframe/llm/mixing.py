@@ -102,11 +102,10 @@ def plan(blocks: dict[str, int], shares: dict[str, int]) -> list[tuple[str, int,
     return rows
 
 
-def mix_slots(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, shares: int = SHARES, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All columns of ``docs``, then ``_block``, ``_slot``, ``_phase`` and ``_inside`` (place in the block)."""
+def placed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, shares: int = SHARES, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``_row`` (a row of ``docs``), ``_block``, ``_slot``, ``_phase`` and ``_inside`` (place in the block)."""
     spark = docs.sparkSession
-    own = docs.columns
-    rows = docs.select("*", group_key(docs[source_col]).alias("_source"), md5_order(seed, F.coalesce(docs[id_col].cast("string"), F.lit("null"))).alias("_order"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), group_key(docs[source_col]).alias("_source"), md5_order(seed, F.coalesce(docs[id_col].cast("string"), F.lit("null"))).alias("_order"))
     counts = {r["_source"]: r["count"] for r in rows.groupBy("_source").count().collect()}  # a row for each source
     given = {("null" if s is None else f"={s}"): w for s, w in (weights or {}).items()}
     part = whole_shares({s: given.get(s, 0.0) if weights is not None else n**alpha for s, n in counts.items()}, shares) if counts else {}
@@ -119,18 +118,23 @@ def mix_slots(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     phases = phases.where("_took > 0").groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_first", "_phase", "_took", "_start", "_slots", "_share"))).alias("_phases"))
     if len(drawn) <= BROADCAST_ROWS:
         phases, schedule = F.broadcast(phases), F.broadcast(schedule)
-    ranked = rank_within(rows, "_source", "_order", [id_col], counts)
+    ranked = rank_within(rows, "_source", "_order", ["_id"], counts)
     placed = ranked.withColumn("_block", F.expr(f"rank div {block_rows}")).withColumn("_inside", (F.col("rank") % block_rows).cast("int")).join(phases, "_source")
     placed = placed.withColumn("_p", F.element_at(F.filter("_phases", lambda p: p["_first"] <= F.col("_block")), -1)).withColumn("_phase", F.col("_p._phase"))
     placed = placed.withColumn("_since", F.col("_block") - F.col("_p._first")).withColumn("_j", F.col("_since") % F.col("_p._share"))
     slots = schedule.select("_source", "_phase", "_j", "_t")
     whole = F.col("_p._start") + F.expr("_since div _p._share") * F.col("_p._slots") + F.col("_t")
-    return placed.join(slots, ["_source", "_phase", "_j"]).select(*[F.col(f"`{c}`") for c in own], "_block", whole.alias("_slot"), "_phase", "_inside")
+    return placed.join(slots, ["_source", "_phase", "_j"]).select("_row", "_block", whole.alias("_slot"), "_phase", "_inside")
+
+
+def mix_slots(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
+    """All columns of ``docs``, then ``_block``, ``_slot``, ``_phase`` and ``_inside`` (place in the block)."""
+    return placed_rows(docs, weights, **options).select("_row.*", "_block", "_slot", "_phase", "_inside")
 
 
 def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
     """The rows of ``docs``, all of them, sorted into the mixed order; columns as they were."""
-    return mix_slots(docs, weights, **options).orderBy("_slot", "_inside").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return placed_rows(docs, weights, **options).orderBy("_slot", "_inside").select("_row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

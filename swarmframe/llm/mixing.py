@@ -143,4 +143,39 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_block").alias("block"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"), F.col("_inside").alias("place"))
 
 
+#: The schedule simulated slot by slot, one row for each; in DuckDB's dialect.
+OP4_SQL = f"""
+WITH RECURSIVE counts AS (
+  SELECT coalesce('=' || source, 'null') AS k, count(*) AS n FROM documents GROUP BY 1
+), ideals AS (
+  SELECT k, n, greatest(1.0, {SHARES} * pow(n, {ALPHA}) / sum(pow(n, {ALPHA})) OVER ()) AS ideal FROM counts
+), shares AS (
+  SELECT k, (n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS blocks,
+    CAST(floor(ideal) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY floor(ideal) - ideal, k) <= {SHARES} - sum(CAST(floor(ideal) AS BIGINT)) OVER () THEN 1 ELSE 0 END AS q
+  FROM ideals
+), run(slot, phase, t, k, block, state) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(-1 AS BIGINT),
+    (SELECT list({{'k': k, 'q': q, 'blocks': blocks, 'rest': blocks, 'since': CAST(0 AS BIGINT)}} ORDER BY k) FROM shares)
+  UNION ALL
+  SELECT slot + 1, CASE WHEN ends THEN phase + 1 ELSE phase END, CASE WHEN ends THEN 0 ELSE t + 1 END, pick.k, pick.blocks - pick.rest,
+    list_transform(state, lambda x: {{'k': x.k, 'q': x.q, 'blocks': x.blocks, 'rest': x.rest - CASE WHEN x.k = pick.k THEN 1 ELSE 0 END,
+      'since': CASE WHEN ends THEN 0 WHEN x.k = pick.k THEN x.since + 1 ELSE x.since END}})
+  FROM (
+    SELECT *, pick.rest = 1 AS ends FROM (
+      SELECT *, list_sort(list_transform(
+        list_filter(state, lambda x: x.rest > 0 AND x.since * n // x.q <= t),
+        lambda x: {{'due': ((x.since + 1) * n + x.q - 1) // x.q, 'k': x.k, 'blocks': x.blocks, 'rest': x.rest}}))[1] AS pick
+      FROM (SELECT *, CAST(list_sum(list_transform(list_filter(state, lambda x: x.rest > 0), lambda x: x.q)) AS BIGINT) AS n FROM run) WHERE n > 0
+    )
+  )
+), ranked AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS k,
+    row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT, doc_id) - 1 AS r
+  FROM documents
+)
+SELECT doc_id, source, r // {BLOCK_ROWS} AS block, CAST(phase - CASE WHEN last THEN 1 ELSE 0 END AS INTEGER) AS phase, slot, CAST(r % {BLOCK_ROWS} AS INTEGER) AS place
+FROM ranked JOIN (SELECT k, block, slot, phase, t = 0 AND slot >= 0 AS last FROM run) USING (k) WHERE r // {BLOCK_ROWS} = block
+"""
+
 QUERIES = {"op4_mixing": op4_mixing}
+ORACLE_SQL = {"op4_mixing": OP4_SQL}

@@ -481,15 +481,18 @@ def histogram_even(spark, sf):
 
 @query("sort1", f"SELECT _id, row_number() OVER (ORDER BY price DESC, _id) AS place FROM ({ORDERS_SQL})")
 def sort1(spark, sf):
-    """The sorted frame, with the place that its order gives (zip with index: no shuffle after the sort)."""
-    ordered = R.sort_population(orders(spark, sf).select("_id", "price"), ("price", "desc"))
-    return ordered.rdd.zipWithIndex().map(lambda x: (x[0]["_id"], x[1] + 1)).toDF("_id long, place long")
+    return R.place_in_order(orders(spark, sf).select("_id", "price"), ("price", "desc")).selectExpr("_id", "_place AS place")
 
 
 @query("sort2", f"SELECT _id, row_number() OVER (ORDER BY yr, price DESC, _id) AS place FROM ({ORDERS_SQL})")
 def sort2(spark, sf):
-    ordered = R.sort_population(orders(spark, sf).select("_id", "yr", "price"), ("yr", "asc"), ("price", "desc"))
-    return ordered.rdd.zipWithIndex().map(lambda x: (x[0]["_id"], x[1] + 1)).toDF("_id long, place long")
+    return R.place_in_order(orders(spark, sf).select("_id", "yr", "price"), ("yr", "asc"), ("price", "desc")).selectExpr("_id", "_place AS place")
+
+
+@query("sort_population", f"SELECT _id, {cents('price')} AS cents FROM ({ORDERS_SQL})")
+def sort_population(spark, sf):
+    """The population in order (a test looks at the order itself)."""
+    return R.sort_population(orders(spark, sf), ("yr", "desc"), ("price", "asc")).selectExpr("_id", f"{cents('price')} AS cents")
 
 
 @query("sort_bits", f"SELECT _id, (cust >> 2) & 15 AS key FROM ({ORDERS_SQL})")

@@ -60,3 +60,17 @@ def test_random_draws(spark):
     first = [h.uniform(), h.uniform(1, 6), h.uniform(0.0, 2.0), h.normal(), h.log_normal(0, 1), h.poisson(3)]
     h.set_seed(3)
     assert first == [h.uniform(), h.uniform(1, 6), h.uniform(0.0, 2.0), h.normal(), h.log_normal(0, 1), h.poisson(3)] and h.get_seed() == 3
+
+
+def test_sorted_populations_are_in_order(spark, data):
+    from swarmframe.operators import reductions as R
+    from swarmframe.plans.catalogue import orders
+
+    rows = orders(spark, data)
+    for keys in ((("price", "asc"),), (("price", "desc"),), (("yr", "desc"), ("price", "asc"))):
+        got = [r["_id"] for r in R.sort_population(rows, *keys).collect()]
+        sign = [1 if w == "asc" else -1 for _, w in keys]
+        want = sorted(rows.collect(), key=lambda r: ([s * r[k] for s, (k, _) in zip(sign, keys, strict=True)], r["_id"]))
+        assert got == [r["_id"] for r in want]
+        placed = {r["_id"]: r["_place"] for r in R.place_in_order(rows, *keys, parts=7).collect()}
+        assert placed == {k: i + 1 for i, k in enumerate(got)}

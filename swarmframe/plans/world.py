@@ -26,7 +26,8 @@ from ..operators import macros as M
 from ..operators import population as P
 from ..operators import shapes as S
 from ..operators.graphs import Graph
-from ..operators.reductions import Reduce, histogram_even, reduce_many, sort_population
+from ..operators.reductions import Reduce, histogram_even, reduce_many, sort_by_place, sort_population
+from ..operators.vectors import AgentVector
 from ..types import Variable
 
 MACRO_SCHEMA = "i int, j int, k int, w int, value double"
@@ -299,10 +300,34 @@ class World:
             df.write.parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
 
-        self.populations = {k: saved(p) for k, p in self.populations.items()}
+        self.populations = {k: saved(self._laid_out(k[0], p)) for k, p in self.populations.items()}
         self.macros = {k: saved(p) for k, p in self.macros.items()}
         self.messages = {k: saved(m) if m is not None and self.model.messages[k].persistent else m for k, m in self.messages.items()}
 
+    def _laid_out(self, agent: str, rows: DataFrame) -> DataFrame:
+        """Agents of a space beside their neighbours, every ``sort_period`` steps: a matter of layout only."""
+        spec = self.model.agents[agent]
+        if not spec.sort_period or self.step_count % spec.sort_period:
+            return rows
+        for f in self.model.functions():
+            space = self.model.messages[f.emit.message].space if f.agent == agent and f.emit else None
+            if space is not None and all(spec.has_variable(c) and not spec.variables[c].length for c in space.names):
+                return sort_by_place(rows, space)
+        return rows
+
+    def vector(self, agent: str, state: str | None = None) -> AgentVector:
+        """A small population as a list on the driver."""
+        return AgentVector.of(self.population(agent, state), list(self.model.agents[agent].variables.values()))
+
+    def set_vector(self, agent: str, rows: AgentVector, state: str | None = None) -> None:
+        """A population from a list; unset ids are filled in the list's order."""
+        held = rows.frame(self.spark)
+        first = P.next_id(held)
+        free = iter(range(first, first + len(rows)))
+        for r in rows:
+            r.id = r.id or next(free)
+        self.set_population(agent, rows.frame(self.spark), state)
+
     def drop_tables(self) -> None:
         """Removes the written tables; frames that read them are then of no use."""
         try:

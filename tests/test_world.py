@@ -297,3 +297,47 @@ def test_translation_limits(spark, body):
 
     with pytest.raises(E.TranslationError):
         translate(f"def f(x):\n    {body}")
+
+
+def test_vectors(spark):
+    from swarmframe.operators.vectors import AgentVector
+
+    w = World(spark, counting())
+    variables = list(w.model.agents["c"].variables.values())
+    v = AgentVector(variables, 2)
+    v.push_back({"v": 7, "a": [5, 6]})
+    v.insert(0, {"v": -1}, None)
+    assert v.data("v") == [-1, 0, 0, 0, 7] and v[4].element("a", 1) == 6 and v[4].element("a", 0, 9) == 9
+    v.erase(1, 3)
+    v.pop_back()
+    v.resize(3)
+    assert v.data("v") == [-1, 0, 0]
+    other = AgentVector(variables)
+    other.swap(v)
+    assert len(v) == 0 and len(other) == 3 and other[0] == other[0].copy() and other != v
+    other[1]["v"] = 4
+    w.set_vector("c", other)
+    w.step()
+    back = w.vector("c")
+    assert [(r.id, r["v"]) for r in back] == [(1, 0), (2, 5), (3, 1)]
+    back.push_back({"v": 50})
+    w.set_vector("c", back)
+    assert rows(w, "c", "_id", "v") == [(1, 0), (2, 5), (3, 1), (4, 50)]
+    for bad in (lambda: v.pop_back(), lambda: v.push_back({"no": 1}), lambda: other[0].element("a", 2), lambda: other[0]["no"], lambda: v.push_back(AgentVector([], 1)[0])):
+        with pytest.raises(E.ModelError):
+            bad()
+
+
+def test_layout_changes_nothing(spark):
+    def run(period):
+        model = Model("m")
+        agent = model.agent("a").variable("x").variable("y").variable("n", "int64")
+        agent.sort_period = period
+        model.message("at", shape="space", space=S.Space((0.0, 0.0), (10.0, 10.0), 1.0)).variable("id", "int64")
+        model.layer(Function("show", "a", emit=Emit("at", {"x": "x", "y": "y", "id": "_id"})))
+        model.layer(Function("look", "a", read=Read("at", {"met": "count(m.id)"}, within=1.0), set={"n": "met"}))
+        w = World(spark, model)
+        w.set_population("a", spark.range(200).selectExpr("id + 1 AS _id", "(id * 37 % 100) / 10 AS x", "(id * 61 % 100) / 10 AS y"))
+        return rows(w.simulate(2), "a", "_id", "n")
+
+    assert run(0) == run(1)

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, append_columns, arrow_schema, slices, table
 
-TREES, BASE_DEPTH, FULL_DEPTH, VALUES = 32, 4, 8, 128
+TREES, BASE_DEPTH, VALUES = 32, 4, 128
 #: (trees, neighbours) of each round.
 ROUNDS = ((2, 1), (8, 2), (TREES, 6))
 #: Classes of a region that one task sorts; beyond, the region is split deeper.
@@ -42,6 +42,8 @@ REGION_ROWS = 20_000
 #: A pair is linked if ALIKE[1] * intersection >= ALIKE[0] * union.
 ALIKE = (80, 100)
 WORDS_KEPT = 500_000
+#: Bits of the map that marks texts whose sets are needed: 2**24 of them are 2 MB.
+BITMAP_BITS = 24
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -82,14 +84,14 @@ class Shingler:
         keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         return np.unique(keys ^ (keys >> np.uint64(31)))
 
-    def signature(self, keys: np.ndarray) -> bytes:
-        """Two bytes of each minimum hash."""
+    def signature(self, keys: np.ndarray) -> list[int]:
+        """16 bits of each minimum hash, ``BASE_DEPTH`` values to a long."""
         least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
         for start in range(0, len(keys), 4096):
             part = keys[start : start + 4096]
             least = np.minimum(least, (self.odd[:, None] * part[None, :] + self.turn[:, None]).min(1))
         least = (least ^ (least >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        return (least >> np.uint64(48)).astype(">u2").tobytes()
+        return np.frombuffer((least >> np.uint64(48)).astype(">u2").tobytes(), ">i8").tolist()
 
 
 def marks(width: int):
@@ -114,7 +116,7 @@ def marks(width: int):
     return make
 
 
-MARKS = [T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("sign", T.BinaryType())]
+MARKS = [T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("sign", T.ArrayType(T.LongType()))]
 SETS = T.StructType([T.StructField("cls", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
@@ -163,11 +165,9 @@ def star_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree: tree, key (leading values) and region."""
-    turned = F.concat("sign", "sign")
-    keyed = classes.select("cls", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), turned.alias("twice"))
-    start = F.col("tree") * (2 * BASE_DEPTH) + 1
-    return keyed.select("cls", "n", "tree", F.substring("twice", start, F.lit(2 * FULL_DEPTH)).alias("key")).withColumn("region", F.substring("key", 1, 2 * BASE_DEPTH))
+    """A row for each class and tree: region (its leading values) and rest (the values after)."""
+    keyed = classes.select("cls", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sign")
+    return keyed.select("cls", "n", "tree", F.element_at("sign", F.col("tree") + 1).alias("region"), F.element_at("sign", (F.col("tree") + 1) % TREES + 1).alias("rest"))
 
 
 def split_regions(rows: DataFrame, most: int, region_rows: int) -> DataFrame:
@@ -175,17 +175,37 @@ def split_regions(rows: DataFrame, most: int, region_rows: int) -> DataFrame:
 
     The deal differs from tree to tree, so classes that one tree parts meet in others.
     """
-    for depth in range(BASE_DEPTH + 2, FULL_DEPTH + 1, 2):
+    for deeper in (F.shiftright("rest", 32), F.col("rest")):
         if most <= region_rows:
             return rows
         large = F.col("in_region") > region_rows
-        rows = rows.withColumn("region", F.when(large, F.substring("key", 1, 2 * depth)).otherwise(F.col("region"))).drop("in_region")
+        rows = rows.withColumn("region", F.when(large, F.xxhash64("region", deeper)).otherwise(F.col("region"))).drop("in_region")
         sizes = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("in_region"))
         most = sizes.agg(F.max("in_region")).first()[0] or 0
         rows = rows.join(sizes, ["tree", "region"])
     share = F.ceil(F.col("in_region") / region_rows)
-    salt = F.when(F.col("in_region") > region_rows, F.pmod(F.xxhash64("cls", "tree"), share)).otherwise(F.lit(0))
-    return rows.withColumn("region", F.concat("region", F.encode(salt.cast("string"), "utf-8")))
+    salted = F.xxhash64("region", F.pmod(F.xxhash64("cls", "tree"), share))
+    return rows.withColumn("region", F.when(F.col("in_region") > region_rows, salted).otherwise(F.col("region")))
+
+
+def mark_likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (with an ``_id``) and ``_likely``: whether the id may be a wanted one (``wanted`` has a column ``_id``).
+
+    A bitmap of fixed size (``BITMAP_BITS``), broadcast, tells most ids that are
+    not wanted without moving their rows. A full bitmap only marks more of them.
+    """
+    bit = F.shiftrightunsigned(F.xxhash64("_id", F.lit(9)), 64 - BITMAP_BITS)
+    held = wanted.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word"))
+    bitmap = held.agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 AS INT))")).alias("_bits"))  # at most 2**(BITMAP_BITS - 6) rows
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(bitmap), "_word", "left")
+    likely = F.coalesce(F.expr("shiftright(_bits, cast(_bit & 63 AS INT)) & 1L = 1"), F.lit(False))
+    return marked.withColumn("_likely", likely).drop("_bit", "_word", "_bits")
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text (_id, text) of each wanted id."""
+    likely = mark_likely(texts.select(F.col("id").alias("_id"), "text"), wanted).where("_likely").select("_id", "text")
+    return likely.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
 
 
 def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", alike: tuple[int, int] = ALIKE, region_rows: int = REGION_ROWS) -> tuple[DataFrame, Scratch]:
@@ -193,7 +213,7 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
     scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     signed = scratch.save(append_columns(texts, MARKS, "text", marks(width)).drop("text"), "signs")
-    classes = scratch.save(signed.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("cls"), F.min("sign").alias("sign")), "classes")
+    classes = scratch.save(signed.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("cls"), F.first("sign").alias("sign")), "classes")
 
     rows = forest_rows(classes)
     sizes = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("in_region")).where("in_region > 1")
@@ -201,19 +221,19 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
     most = rows.agg(F.max("in_region")).first()[0] or 0
     if most > region_rows:
         rows = scratch.save(split_regions(rows, most, region_rows), "split")
-    involved = rows.select(F.col("cls").alias("id")).distinct()
-    sets = scratch.save(shingle_sets(texts.join(involved, "id", "left_semi").select("id", "text"), width).dropDuplicates(["cls"]), "sets")
+    involved = scratch.save(rows.select(F.col("cls").alias("_id")).distinct(), "involved")
+    sets = scratch.save(shingle_sets(texts_of(texts, involved), width), "sets")
 
     labels = None  # (cls, label) of the classes that were linked
     checked = None
     for k, (trees, near) in enumerate(ROUNDS):
-        part = rows.where(F.col("tree") < trees).select("tree", "region", "key", "cls", "n")
+        part = rows.where(F.col("tree") < trees).select("tree", "region", "rest", "cls", "n")
         if labels is not None:
             part = part.join(labels, "cls", "left")
         else:
             part = part.withColumn("label", F.lit(None).cast("long"))
         part = part.withColumn("label", F.coalesce("label", "cls"))
-        after = Window.partitionBy("tree", "region").orderBy("key", "cls").rowsBetween(1, near)
+        after = Window.partitionBy("tree", "region").orderBy("rest", "cls").rowsBetween(1, near)
         met = part.withColumn("next", F.collect_list(F.struct("cls", "label", "n")).over(after)).select("cls", "label", "n", F.explode("next").alias("x"))
         fits = (F.col("label") != F.col("x.label")) & (alike[1] * F.least("n", "x.n") >= alike[0] * F.greatest("n", "x.n"))
         pairs = met.where(fits).select(
@@ -250,14 +270,15 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
 
 def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, the one of least id; of its repeated rows, one. Rows with a null id stay."""
-    own = docs.columns
     found, scratch = near_components(docs, width, id_col, text_col)
     found = scratch.save(found, "found")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = scratch.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    rows = docs.select(docs[id_col].cast("long").alias("_id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    marked = mark_likely(rows, gone)
+    kept = marked.where("NOT _likely").unionByName(marked.where("_likely").join(gone, "_id", "left_anti"))
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.where(docs[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(docs[id_col].isNull()))
-    return kept.select(*[F.col(f"`{c}`") for c in own])
+        kept = kept.where("_id IS NOT NULL").dropDuplicates(["_id"]).unionByName(kept.where("_id IS NULL"))
+    return kept.select("_row.*")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,11 @@ are candidates. Every candidate is confirmed on the full sets.
 
 Rounds take more trees and wider neighbourhoods, each only between classes not
 yet in one component, so a group of thousands of near copies is joined by chains
-rather than by all its pairs. Components are found by alternating star steps on
-tables; nothing of all documents reaches the driver.
+rather than by all its pairs. What neighbourhoods of a dense region do not reach
+is settled last: components whose members' signatures there look alike are
+tested in full, every member of one against every member of the other, in
+blocks. Components are found by alternating star steps on tables; nothing of all
+documents reaches the driver.
 
 A pair at similarity 0.8 shares no region in any of 32 trees of base depth 4
 with a probability of (1 - 0.8**4)**32, below 1e-7.
@@ -39,6 +42,10 @@ TREES, BASE_DEPTH, VALUES = 32, 4, 128
 ROUNDS = ((2, 1), (8, 2), (TREES, 6))
 #: Classes of a region that one task sorts; beyond, the region is split deeper.
 REGION_ROWS = 20_000
+#: Members of a component in one block of the last tests.
+BLOCK_ROWS = 512
+#: Signatures look alike if so many of their values agree: five deviations below 0.8.
+LOOKS_ALIKE = VALUES * 8 // 10 - round(5 * (VALUES * 0.16) ** 0.5)
 #: A pair is linked if ALIKE[1] * intersection >= ALIKE[0] * union.
 ALIKE = (80, 100)
 WORDS_KEPT = 500_000
@@ -208,6 +215,105 @@ def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return likely.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
 
 
+def with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows (with ``cls``) and ``label``; a class that was never linked is its own label."""
+    if labels is None:
+        return rows.withColumn("label", F.col("cls"))
+    return rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def relabel(labels: DataFrame | None, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Labels after edges (a, b) between them: (cls, label) of every class that was ever linked."""
+    roots = star_components(edges, scratch, f"{name}-roots")
+    if labels is None:
+        return scratch.save(roots.select(F.col("node").alias("cls"), F.col("root").alias("label")), name)
+    moved = labels.join(roots, labels["label"] == roots["node"], "left").select("cls", F.coalesce("root", "label").alias("label"))
+    fresh = roots.join(labels.select(F.col("cls").alias("node")), "node", "left_anti").select(F.col("node").alias("cls"), F.col("root").alias("label"))
+    return scratch.save(moved.unionByName(fresh), name)
+
+
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """(a, b): labels of which some members share a dense region and have signatures that look alike.
+
+    Smaller regions need no second look: there, every class met every other.
+    """
+    reach = ROUNDS[-1][1]
+    dense = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("m") > reach + 1) & (F.col("x") != F.col("y")))
+    met = rows.join(dense.select("tree", "region"), ["tree", "region"], "left_semi")
+    met = met.join(classes.select("cls", "sign"), "cls").select("tree", "region", "label", "n", "sign")
+    out = arrow_schema(PAIRS)
+
+    def compare(table_: pa.Table) -> pa.Table:
+        labels, sizes = table_["label"].to_numpy(), table_["n"].to_numpy()
+        signs = table_["sign"].combine_chunks()
+        signs = signs if isinstance(signs, pa.Array) else pa.concat_arrays(signs.chunks)
+        values = signs.flatten().to_numpy().astype(">i8").view(">u2").astype(np.uint16).reshape(len(labels), VALUES)
+        names, at, counts = np.unique(labels, return_inverse=True, return_counts=True)
+        minor = np.flatnonzero(at != counts.argmax())  # pairs within the largest component are settled
+        found: set[tuple[int, int]] = set()
+        for row in minor.tolist():
+            fit = (alike[1] * np.minimum(sizes, sizes[row]) >= alike[0] * np.maximum(sizes, sizes[row])) & (at != at[row])
+            some = np.flatnonzero(fit)
+            near = some[(values[some] == values[row]).sum(1) >= LOOKS_ALIKE]
+            found |= {(min(int(names[at[row]]), x), max(int(names[at[row]]), x)) for x in np.unique(labels[near]).tolist()}
+        pairs = sorted(found)
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=out)
+
+    return met.groupBy("tree", "region").applyInArrow(compare, PAIRS).distinct()
+
+
+def test_components(pairs: DataFrame, members: DataFrame, alike: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Those pairs of labels (a, b) of which any members (cls, keys, label) are linked.
+
+    Members of the smaller component ask blocks of the larger one; both are dealt
+    in blocks, so no task holds a whole component.
+    """
+    ends = pairs.select(F.col("a").alias("label")).unionByName(pairs.select(F.col("b").alias("label"))).distinct()
+    members = members.join(ends, "label", "left_semi")
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    sized = pairs.join(sizes.select(F.col("label").alias("a"), F.col("m").alias("ma")), "a").join(sizes.select(F.col("label").alias("b"), F.col("m").alias("mb")), "b")
+    swap = F.col("ma") > F.col("mb")
+    asked = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("big"), F.greatest("ma", "mb").alias("m"), F.least("ma", "mb").alias("asks"))
+    asked = scratch.save(asked, "asked")
+    load = asked.groupBy("big").agg(F.first("m").alias("m"), F.sum("asks").alias("asks"))
+    load = load.select("big", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("asks") / BLOCK_ROWS).cast("int").alias("chunks"))
+    load = scratch.save(load, "load")
+    deal = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.select("small", "big").join(load, "big").join(members.select(F.col("label").alias("small"), "cls", "keys"), "small")
+    left = left.select("big", "small", "keys", deal("chunks").alias("chunk"), each("blocks").alias("block"))
+    right = load.join(members.select(F.col("label").alias("big"), "cls", "keys"), "big").select(F.col("big").alias("of"), F.col("keys").alias("held"), deal("blocks").alias("in_block"), each("chunks").alias("in_chunk"))
+    out = arrow_schema(PAIRS)
+
+    def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+        return [x.values.to_numpy() for x in column]
+
+    def ask(queries: pa.Table, held: pa.Table) -> pa.Table:
+        pairs: set[tuple[int, int]] = set()
+        if queries.num_rows and held.num_rows:
+            sets = arrays(held["held"])
+            lengths = np.array(list(map(len, sets)))
+            keys, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+            order = np.argsort(keys, kind="stable")
+            keys, owners = keys[order], owners[order]
+            for small, big, query in zip(queries["small"].to_pylist(), queries["big"].to_pylist(), arrays(queries["keys"]), strict=True):
+                if (small, big) in pairs:
+                    continue
+                low, high = np.searchsorted(keys, query, "left"), np.searchsorted(keys, query, "right")
+                spans = high - low
+                hits = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+                common = np.bincount(owners[hits], minlength=len(sets))
+                if (alike[1] * common >= alike[0] * (len(query) + lengths - common)).any():
+                    pairs.add((small, big))
+        found = sorted(pairs)
+        return pa.table([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], schema=out)
+
+    return left.groupBy("big", "block", "chunk").cogroup(right.groupBy("of", "in_block", "in_chunk")).applyInArrow(ask, PAIRS).distinct()
+
+
 def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", alike: tuple[int, int] = ALIKE, region_rows: int = REGION_ROWS) -> tuple[DataFrame, Scratch]:
     """doc_id, n_shingles and component_id of every row, and the tables it reads."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -227,12 +333,7 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
     labels = None  # (cls, label) of the classes that were linked
     checked = None
     for k, (trees, near) in enumerate(ROUNDS):
-        part = rows.where(F.col("tree") < trees).select("tree", "region", "rest", "cls", "n")
-        if labels is not None:
-            part = part.join(labels, "cls", "left")
-        else:
-            part = part.withColumn("label", F.lit(None).cast("long"))
-        part = part.withColumn("label", F.coalesce("label", "cls"))
+        part = with_labels(rows.where(F.col("tree") < trees).select("tree", "region", "rest", "cls", "n"), labels)
         after = Window.partitionBy("tree", "region").orderBy("rest", "cls").rowsBetween(1, near)
         met = part.withColumn("next", F.collect_list(F.struct("cls", "label", "n")).over(after)).select("cls", "label", "n", F.explode("next").alias("x"))
         fits = (F.col("label") != F.col("x.label")) & (alike[1] * F.least("n", "x.n") >= alike[0] * F.greatest("n", "x.n"))
@@ -251,13 +352,13 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
         edges = tested.where("linked").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         if not edges.head(1):
             continue
-        roots = star_components(edges, scratch, f"roots-{k}")
-        if labels is None:
-            labels = scratch.save(roots.select(F.col("node").alias("cls"), F.col("root").alias("label")), f"labels-{k}")
-        else:  # those labelled before move on to the new roots; roots themselves are new nodes
-            moved = labels.join(roots, labels["label"] == roots["node"], "left").select("cls", F.coalesce("root", "label").alias("label"))
-            fresh = roots.join(labels.select(F.col("cls").alias("node")), "node", "left_anti").select(F.col("node").alias("cls"), F.col("root").alias("label"))
-            labels = scratch.save(moved.unionByName(fresh), f"labels-{k}")
+        labels = relabel(labels, edges, scratch, f"labels-{k}")
+    marked = with_labels(rows.select("tree", "region", "cls", "n"), labels)
+    alike_labels = scratch.save(alike_components(marked, classes, alike), "alike")
+    if alike_labels.head(1):
+        edges = scratch.save(test_components(alike_labels, with_labels(sets, labels), alike, scratch), "last")
+        if edges.head(1):
+            labels = relabel(labels, edges, scratch, "labels")
     own = classes.select("n", "f1", "f2", "cls")
     out = signed.select("id", "n", "f1", "f2").join(own, ["n", "f1", "f2"], "left")
     if labels is not None:

@@ -20,7 +20,9 @@ from __future__ import annotations
 import math
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, arrow_schema, rank_within, slices, table
+from .token_counts import byte_symbols
+
+#: Unsigned 32-bit numbers; the ids are asked for in little-endian order.
+FOUR_BYTES = "I"
+assert array(FOUR_BYTES).itemsize == 4 and sys.byteorder == "little"
 
 LENGTH, UNIT, END_ID = 2048, 8, 1
 #: The linear program stops within this share of its optimum.
 GAP = 1e-3
 #: Entries of a worker's table of tokenized words before it is emptied.
 WORD_ENTRIES = 600_000
+#: Letters whose lower case is one letter and needs no composing, then marks that form one piece.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@|~)-]*)")
 #: White space to Python that the tokenizer does not take for it.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -60,23 +69,63 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.entries = entries
         self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.model = self.library.model
+        self.symbols = {b: ch for b, ch in byte_symbols().items() if ord(ch) != b}
+
+    def core(self, letters: str) -> bytes:
+        """Ids of one piece of lower-case letters: merged by the library's model, without its text steps."""
+        piece = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return array(FOUR_BYTES, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Tokenizes words that are not in the table.
+
+        Most are letters and closing marks: two pieces, of which the first is
+        looked up in lower case, so that it is merged once however it is
+        written and closed. All others go to the library as they are.
+        """
+        match, cores, tails, known = SIMPLE.fullmatch, self.cores, self.tails, self.words
+        if len(cores) > self.entries:
+            cores.clear()
+        other = []
+        for word in words:
+            if (m := match(word)) is None:
+                other.append(word)
+                continue
+            letters, tail = m.groups()
+            letters = letters.lower()
+            ids = cores.get(letters)
+            if ids is None:
+                ids = cores[letters] = self.core(letters)
+            if tail:
+                if tail not in tails:
+                    if len(tails) > self.entries:
+                        tails.clear()
+                    tails[tail] = self.whole(tail)
+                ids = ids + tails[tail]
+            known[word] = ids
+        for start in range(0, len(other), 4096):
+            some = other[start : start + 4096]
+            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[word] = array(FOUR_BYTES, found.ids).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array(FOUR_BYTES, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         parts = []
         for i, text in enumerate(texts):
             if text and ODD_SPACE.search(text):
-                out[i] = np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                out[i] = self.whole(text)
                 parts.append(())
             else:
                 parts.append((text or "").split())
         if len(self.words) > self.entries:
             self.words.clear()
-        missing = list(set().union(*parts) - self.words.keys())
-        for start in range(0, len(missing), 4096):
-            some = missing[start : start + 4096]
-            for word, found in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                self.words[word] = np.asarray(found.ids, "<u4").tobytes()
+        self.learn(list(set().union(*parts) - self.words.keys()))
         get = self.words.__getitem__
         return [b"".join(map(get, p)) if o is None else o for o, p in zip(out, parts, strict=True)]
 

@@ -142,10 +142,14 @@ class Environment:
 
 @dataclass(frozen=True)
 class Read:
-    """A message read: which list, how, and the fold over what is met."""
+    """A message read: which list, how, and the fold over what is met.
 
-    message: str
-    fold: Fold
+    With ``graph`` it reads edges of the vertex ``key`` instead; with ``macro``
+    the cell ``index`` of a macro property, under the fold's one name.
+    """
+
+    message: str = ""
+    fold: Fold = field(default_factory=dict)
     key: str | None = None
     range: tuple[str, str] | None = None
     wrap: bool = False
@@ -155,8 +159,15 @@ class Read:
     at: tuple[str, ...] = ()
     where: str | None = None
     defaults: dict | None = None
-    graph: str | None = None  # instead of a message list: edges of the vertex ``key``
+    graph: str | None = None
     incoming: bool = False
+    macro: str | None = None
+    index: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def list_name(self) -> str | None:
+        """The message list that is read, if any."""
+        return self.message if self.graph is None and self.macro is None else None
 
 
 @dataclass(frozen=True)
@@ -293,7 +304,7 @@ def check_function(model: Model, f: Function) -> None:
             raise ModelError(f"{f.name}: unknown state {state}")
     if f.alive is not None and not f.allow_death:
         raise ModelError(f"{f.name}: it ends agents but does not allow death")
-    if f.read and f.read.graph is None and f.read.message not in model.messages:
+    if f.read and f.read.list_name is not None and f.read.message not in model.messages:
         raise MessageError(f"{f.name}: unknown message {f.read.message}")
     if f.emit:
         if f.emit.message not in model.messages:
@@ -303,7 +314,7 @@ def check_function(model: Model, f: Function) -> None:
             raise MessageError(f"{f.name}: {message.name} has no {sorted(unknown)}")
         if missing := set(message.keys) - f.emit.values.keys():
             raise MessageError(f"{f.name}: {message.name} needs {sorted(missing)}")
-        if f.read and f.read.message == f.emit.message and f.read.graph is None:
+        if f.read and f.read.list_name == f.emit.message:
             raise MessageError(f"{f.name}: one list cannot be read and written by one function")
     if f.birth:
         if f.birth.agent not in model.agents:
@@ -313,6 +324,15 @@ def check_function(model: Model, f: Function) -> None:
             raise ModelError(f"{f.name}: {other.name} has no {sorted(unknown)}")
         if f.birth.state is not None and not other.has_state(f.birth.state):
             raise ModelError(f"{f.name}: unknown state {f.birth.state}")
+    if f.read and f.read.graph is not None and f.read.graph not in model.environment.graphs:
+        raise EnvironmentError_(f"{f.name}: unknown graph {f.read.graph}")
+    if f.read and f.read.macro is not None:
+        if f.read.macro not in model.environment.macros:
+            raise EnvironmentError_(f"{f.name}: unknown macro property {f.read.macro}")
+        if len(f.read.fold) != 1:
+            raise EnvironmentError_(f"{f.name}: a cell is read under one name")
+        if f.macro and f.macro.macro == f.read.macro:
+            raise LayerError(f"{f.name}: a macro property cannot be read and updated by one function")
     if f.macro and f.macro.macro not in model.environment.macros:
         raise EnvironmentError_(f"{f.name}: unknown macro property {f.macro.macro}")
 
@@ -333,8 +353,10 @@ def clash(model: Model, f: Function, g: Function) -> str | None:
             return "one is born into a state the other uses"
         if x.emit and y.emit and x.emit.message == y.emit.message:
             return "both write one message list"
-        if x.emit and y.read and y.read.graph is None and x.emit.message == y.read.message:
+        if x.emit and y.read and y.read.list_name == x.emit.message:
             return "one reads what the other writes"
+        if x.macro and y.read and y.read.macro == x.macro.macro:
+            return "one reads the macro property that the other updates"
     return None
 
 

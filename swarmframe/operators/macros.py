@@ -31,6 +31,14 @@ def checked(cells: DataFrame, size: Sequence[int]) -> DataFrame:
     return cells.withColumn("i", F.when(inside, F.col("i")).otherwise(F.raise_error(F.lit("cell outside the macro property")).cast("int")))
 
 
+def read_cells(rows: DataFrame, held: DataFrame, index: dict[str, str], name: str) -> DataFrame:
+    """Rows with the value of the cell each names, 0 where nothing is held."""
+    asked = rows.withColumns({f"_m{a}": F.expr(index.get(a, "0")).cast("int") for a in AXES})
+    found = held.select(*[F.col(a).alias(f"_m{a}") for a in AXES], F.col("value").alias(name))
+    keys = [f"_m{a}" for a in AXES]
+    return asked.join(found, keys, "left").withColumn(name, F.coalesce(name, F.lit(0))).drop(*keys)
+
+
 def update(held: DataFrame, sent: DataFrame, how: str) -> DataFrame:
     """``how`` is add, subtract, min or max; cells that hold nothing count as 0."""
     merge = {"add": "sum", "subtract": "sum", "min": "min", "max": "max"}.get(how)

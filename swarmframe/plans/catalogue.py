@@ -751,6 +751,33 @@ def macro_in_layer(spark, sf):
     return w.macros["visits"].select("i", "value")
 
 
+@query("macro_read", f"SELECT _id, (SELECT count(*) FROM ({ORDERS_SQL}) m WHERE m.cust % 7 = a.cust % 7)::BIGINT AS mark FROM ({ORDERS_SQL}) a")
+def macro_read(spark, sf):
+    """Agents read in the second layer what all of them added in the first."""
+    model = Model("macro")
+    model.agent("order").variable("cust", "int64").variable("mark", "int64")
+    model.environment.macro("visits", "double", (7,))
+    model.layer(Function("visit", "order", macro=MacroUpdate("visits", "add", {"i": "cust % 7"}, "1")))
+    model.layer(Function("look", "order", read=Read(macro="visits", index={"i": "cust % 7"}, fold={"seen": "value"}), set={"mark": "seen"}))
+    w = World(spark, model, checkpoint_every=0)
+    w.set_population("order", orders(spark, sf))
+    w.step()
+    return w.population("order").select("_id", "mark")
+
+
+@query("graph_in_model", f"SELECT v.id AS _id, count(e.dest) AS n FROM ({VERTICES_SQL}) v LEFT JOIN ({EDGES_SQL}) e ON e.dest = v.id AND e.weight > 30 GROUP BY 1")
+def graph_in_model(spark, sf):
+    model = Model("trade")
+    model.agent("place").variable("n", "int64")
+    model.environment.graph("trade", edges=[Variable("weight", "int64")])
+    model.layer(Function("count", "place", read=Read(graph="trade", key="_id", incoming=True, fold={"got": "count(m.dest)"}, where="m.weight > 30"), set={"n": "got"}))
+    w = World(spark, model, checkpoint_every=0)
+    w.graphs["trade"] = trade(spark, sf)
+    w.set_population("place", w.graphs["trade"].vertices.selectExpr("id AS _id"))
+    w.step()
+    return w.population("place").select("_id", "n")
+
+
 @query("step_log", f"SELECT CAST(range AS BIGINT) AS step, (SELECT count(*) FROM ({CUSTOMERS_SQL})) AS n, (SELECT sum(idx) FROM ({CUSTOMERS_SQL}))::BIGINT + range * (SELECT count(*) FROM ({CUSTOMERS_SQL})) AS total FROM range(4)")
 def step_log(spark, sf):
     model = Model("counter")

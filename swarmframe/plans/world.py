@@ -171,6 +171,8 @@ class World:
         r = f.read
         fold = {k: self.sql(v) for k, v in r.fold.items()}
         where, zero = self.sql(r.where), r.defaults
+        if r.macro is not None:
+            return M.read_cells(rows, self.macros[r.macro], {k: self.sql(v) for k, v in r.index.items()}, next(iter(r.fold)))
         if r.graph is not None:
             return S.read_edges(rows, self.graphs[r.graph].edges, self.sql(r.key), fold, r.incoming, where, zero)
         spec, near = self.model.messages[r.message], messages[r.message]

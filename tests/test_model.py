@@ -113,3 +113,21 @@ def test_dependencies(model):
         graph.layers(model)
     with pytest.raises(E.LayerError):
         DependencyGraph(Node(Function("x", "a")).depends_on(Node(Function("y", "b")))).depths()
+
+
+def test_macro_reads_and_updates_do_not_mix(model):
+    from swarmframe.model import MacroUpdate
+
+    model.environment.macro("m", "double", (3,))
+    add = MacroUpdate("m", "add", {"i": "0"}, "1")
+    look = Read(macro="m", fold={"v": "value"})
+    with pytest.raises(E.LayerError):
+        model.layer(Function("f", "a", read=look, macro=add))
+    with pytest.raises(E.LayerError):
+        model.layer(Function("f", "a", macro=add), Function("g", "b", read=look))
+    for bad in (Read(macro="no", fold={"v": "value"}), Read(macro="m"), Read(graph="no", key="x")):
+        with pytest.raises(E.EnvironmentError_):
+            model.layer(Function("f", "a", read=bad))
+    for size in ((0,), (1, 1, 1, 1, 1)):
+        with pytest.raises(E.EnvironmentError_):
+            model.environment.macro("n", "double", size)

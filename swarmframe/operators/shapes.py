@@ -37,10 +37,18 @@ def fold_columns(fold: Fold, defaults: dict | None = None) -> list[Column]:
     return [F.coalesce(F.expr(v), as_column(defaults[k])).alias(k) if k in defaults else F.expr(v).alias(k) for k, v in fold.items()]
 
 
-def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold, where: str | None = None, defaults: dict | None = None) -> DataFrame:
+def joined(messages: DataFrame, fold: Fold) -> tuple[DataFrame, Fold]:
+    """Messages and fold for a left join: rows are counted by a mark that an unmatched agent lacks."""
+    return messages.withColumn("_met", F.lit(1)), {k: re.sub(r"\bcount\s*\(\s*(1|\*)\s*\)", "count(m._met)", v, flags=re.I) for k, v in fold.items()}
+
+
+def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
     """Left equi-join on ``keys`` (columns of both), residue ``where``, fold by agent.
 
     Agents keep all their columns but the keys; they must be told apart by them.
+    Where one key holds a large share of the messages, ``parts`` deals those of
+    each key into so many parts: agents go to all of them, and partial folds meet
+    in one more shuffle.
     """
     own = [c for c in agents.columns if c not in keys]
     if not looks_at_reader(where, *fold.values()):
@@ -50,10 +58,14 @@ def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold
         zero = {k: 0 for k, v in fold.items() if v.lower().startswith("count")} | (defaults or {})
         out = agents.join(found, list(keys), "left")
         return out.select(*own, *[(F.coalesce(k, as_column(zero[k])).alias(k) if k in zero else F.col(k)) for k in fold])
+    messages, fold = joined(messages, fold)
+    group = [F.col(f"a.{c}") for c in agents.columns]
+    if parts > 1:
+        messages = messages.withColumn("_part", F.pmod(F.xxhash64(*messages.columns), F.lit(parts)).cast("int"))
+        agents, keys = agents.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"m.{k}") for k in keys])
     on = on & F.expr(where) if where else on
     both = agents.alias("a").join(messages.alias("m"), on, "left")
-    group = [F.col(f"a.{c}") for c in agents.columns]
     return both.groupBy(*group).agg(*fold_columns(fold, defaults)).select(*[F.col(c) for c in own], *fold)
 
 
@@ -66,6 +78,7 @@ def read_all(agents: DataFrame, messages: DataFrame, fold: Fold, where: str | No
         near = messages.alias("m")
         one = (near.where(F.expr(where)) if where else near).agg(*fold_columns(fold, defaults))
         return agents.crossJoin(F.broadcast(one))
+    messages, fold = joined(messages, fold)
     small = messages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     near = F.broadcast(messages) if small else messages
     both = agents.alias("a").join(near.alias("m"), F.expr(where) if where else F.lit(True), "left")
@@ -83,14 +96,15 @@ def check_keys(messages: DataFrame, key: str, low: int, high: int) -> DataFrame:
     return messages.withColumn(key, F.when(F.col(key).between(low, high), F.col(key)).otherwise(bad))
 
 
-def read_bucket(agents: DataFrame, messages: DataFrame, key: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None) -> DataFrame:
+def read_bucket(agents: DataFrame, messages: DataFrame, key: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
     """Messages whose key equals the agent's expression ``key``."""
-    return meet(agents.withColumn("_k", F.expr(key)), messages.withColumn("_k", F.col(message_key)), ["_k"], fold, where, defaults)
+    return meet(agents.withColumn("_k", F.expr(key)), messages.withColumn("_k", F.col(message_key)), ["_k"], fold, where, defaults, parts)
 
 
 def read_bucket_range(agents: DataFrame, messages: DataFrame, begin: str, end: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None) -> DataFrame:
     """Messages with begin <= key < end: the agent asks for each key of its range."""
     keys = F.when(F.expr(end) > F.expr(begin), F.sequence(F.expr(begin).cast("long"), F.expr(end).cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    messages, fold = joined(messages, fold)
     asked = agents.withColumn("_k", F.explode_outer(keys))
     on = F.col("a._k") == F.col(f"m.{message_key}")
     on = on & F.expr(where) if where else on
@@ -179,7 +193,7 @@ def box(reach: int, axes: int) -> list[tuple[int, ...]]:
     return spans
 
 
-def read_space(agents: DataFrame, messages: DataFrame, space: Space, fold: Fold, wrap: bool = False, within: float | None = None, where: str | None = None, defaults: dict | None = None) -> DataFrame:
+def read_space(agents: DataFrame, messages: DataFrame, space: Space, fold: Fold, wrap: bool = False, within: float | None = None, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
     """Messages in the agent's cell and those next to it; ``within`` also checks the distance (<=)."""
     if wrap:
         space.checked_wrap()
@@ -191,7 +205,7 @@ def read_space(agents: DataFrame, messages: DataFrame, space: Space, fold: Fold,
     dealt = deal_offsets(messages, [space.cell(i) for i in range(n)], space.cells, box(1, n), wrap)
     near = f"{distance_sql(space, wrap)} <= {within * within!r}" if within is not None else None
     both = " AND ".join(f"({x})" for x in (near, where) if x) or None
-    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, both, defaults)
+    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, both, defaults, parts)
 
 
 # ---- grids ----------------------------------------------------------------------

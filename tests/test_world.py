@@ -4,6 +4,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from swarmframe import cli
 from swarmframe import errors as E
@@ -341,3 +342,16 @@ def test_layout_changes_nothing(spark):
         return rows(w.simulate(2), "a", "_id", "n")
 
     assert run(0) == run(1)
+
+
+def test_hot_keys_in_parts(spark):
+    sent = spark.range(400).selectExpr("id AS v", "CASE WHEN id < 300 THEN 1 ELSE id % 9 END AS k")
+    who = spark.range(12).selectExpr("id AS _id", "id AS key")
+    fold = {"n": "count(1)", "m": "count(*)", "top": "max(m.v + a._id)", "mean": "avg(m.v)"}
+    read = lambda parts: sorted(map(tuple, S.read_bucket(who, sent, "key", "k", fold, parts=parts).collect()), key=str)
+    one = read(1)
+    assert one == read(7) and {r[0]: r[2] for r in one}[11] == 0  # an agent without messages counts none
+    p = spark.range(300).selectExpr("id AS _id", "CASE WHEN id < 200 THEN 5.5 ELSE id / 30 END AS x", "5.5D AS y").withColumn("x", F.col("x").cast("double"))
+    space = S.Space((0.0, 0.0), (10.0, 10.0), 1.0)
+    near = lambda parts: sorted(map(tuple, S.read_space(p, p, space, {"n": "count(m._id)"}, within=1.0, parts=parts).select("_id", "n").collect()))
+    assert near(1) == near(4)

@@ -21,7 +21,8 @@ with a probability of (1 - 0.8**4)**32, below 1e-7.
 
 Defined results: a text without words (or null) has an empty set, is linked with
 nothing and is its own component; one with fewer words than a shingle has its
-whole sequence as its one shingle; repeated rows are copies; rows with a null id
+whole sequence as its one shingle; repeated rows are copies (an id names one
+text); rows with a null id
 are never linked; extra columns are left alone; an empty table gives no rows.
 """
 
@@ -235,10 +236,13 @@ def relabel(labels: DataFrame | None, edges: DataFrame, scratch: Scratch, name:
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int]) -> DataFrame:
+def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int], split: bool) -> DataFrame:
     """(a, b): labels of which some members share a dense region and have signatures that look alike.
 
-    Smaller regions need no second look: there, every class met every other.
+    Smaller regions need no second look: there, every class met every other. So
+    two classes are only looked at in the first tree in which they share a
+    region: if that region is small they are settled. Where regions were split,
+    their values do not tell, and every tree is looked at.
     """
     reach = ROUNDS[-1][1]
     dense = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("m") > reach + 1) & (F.col("x") != F.col("y")))
@@ -251,6 +255,7 @@ def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int]
         signs = table_["sign"].combine_chunks()
         signs = signs if isinstance(signs, pa.Array) else pa.concat_arrays(signs.chunks)
         values = signs.flatten().to_numpy().astype(">i8").view(">u2").astype(np.uint16).reshape(len(labels), VALUES)
+        heads, tree = signs.flatten().to_numpy().reshape(len(labels), TREES), table_["tree"][0].as_py()
         names, at, counts = np.unique(labels, return_inverse=True, return_counts=True)
         minor = np.flatnonzero(at != counts.argmax())  # pairs within the largest component are settled
         found: set[tuple[int, int]] = set()
@@ -258,6 +263,9 @@ def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int]
             fit = (alike[1] * np.minimum(sizes, sizes[row]) >= alike[0] * np.maximum(sizes, sizes[row])) & (at != at[row])
             some = np.flatnonzero(fit)
             near = some[(values[some] == values[row]).sum(1) >= LOOKS_ALIKE]
+            if not split:
+                shared = (heads[near] == heads[row]).argmax(1)
+                near = near[shared == tree]
             found |= {(min(int(names[at[row]]), x), max(int(names[at[row]]), x)) for x in np.unique(labels[near]).tolist()}
         pairs = sorted(found)
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=out)
@@ -354,7 +362,7 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
             continue
         labels = relabel(labels, edges, scratch, f"labels-{k}")
     marked = with_labels(rows.select("tree", "region", "cls", "n"), labels)
-    alike_labels = scratch.save(alike_components(marked, classes, alike), "alike")
+    alike_labels = scratch.save(alike_components(marked, classes, alike, most > region_rows), "alike")
     if alike_labels.head(1):
         edges = scratch.save(test_components(alike_labels, with_labels(sets, labels), alike, scratch), "last")
         if edges.head(1):

@@ -4,7 +4,8 @@ A block of candidates holds one list of its rows for each dimension, sorted by
 value. A query walks all lists at once from the end its sign prefers, scores
 every row it meets in full, and bounds the rest by the sum over dimensions of
 query value times the value reached. It stops when that bound is below the kth
-score. Depth grows fourfold from round to round, so rows are scored in bulk.
+score. Depth grows from round to round, the faster the further the bound is from
+the kth score, so rows are scored in bulk.
 
 Queries are stated rows against all rows, in blocks: blocks of queries meet
 blocks of candidates, each pair one task, and the best of each are merged.
@@ -56,7 +57,7 @@ class Lists:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")  # then a lower row number is a smaller id
         self.ids, self.rows = ids[order], rows[order]
-        self.lists = np.argsort(self.rows, axis=0, kind="stable").T
+        self.lists = np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32)
         self.ends = np.sort(self.rows, axis=0).T
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,8 @@ class Lists:
         met[self.ids == own] = True
         best = np.empty(0, np.int64)
         scores = np.empty(0, query.dtype)
-        low, depth = 0, max(k, n // 256, 1)
+        whole = None
+        low, depth = 0, max(k, n // 1024, 1)
         while True:
             depth = min(depth, n) if len(used) else n
             if depth >= n // 4:  # nearly all rows are met: the rest of the lists adds the others
@@ -81,8 +83,9 @@ class Lists:
                 mark[self.lists[down, low:depth].ravel()] = True
                 fresh = np.flatnonzero(mark & ~met)
             met[fresh] = True
-            found = self.rows @ query if len(fresh) > n // 2 else self.rows[fresh] @ query
-            found = found[fresh] if len(fresh) > n // 2 else found
+            if whole is None and len(fresh) > n // 8:  # so many rows are scored faster in the order in which they lie
+                whole = self.rows @ query
+            found = whole[fresh] if whole is not None else self.rows[fresh] @ query
             if len(fresh) > 4 * k:  # what is below the kth best of these cannot be among the best
                 least = np.partition(found, len(found) - k)[len(found) - k]
                 fresh, found = fresh[found >= least], found[found >= least]
@@ -94,7 +97,8 @@ class Lists:
             bound = query[up] @ self.ends[up, n - depth] + query[down] @ self.ends[down, depth - 1]
             if len(best) == k and scores[-1] > bound:
                 return best, scores
-            low, depth = depth, depth * 4
+            far = len(best) < k or bound > 1.5 * max(float(scores[-1]), 1.0)  # then a small step would not reach it either
+            low, depth = depth, depth * (64 if far else 4)
 
 
 SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])

@@ -42,7 +42,7 @@ LENGTH, UNIT, END_ID = 2048, 8, 1
 #: The linear program stops within this share of its optimum.
 GAP = 1e-3
 #: Entries of a worker's table of tokenized words before it is emptied.
-WORD_ENTRIES = 600_000
+WORD_ENTRIES = 400_000
 #: Letters whose lower case is one letter and needs no composing, then marks that form one piece.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@|~)-]*)")
 #: White space to Python that the tokenizer does not take for it.
@@ -55,20 +55,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Tokens:
-    """Ids of a text as little-endian unsigned 32-bit numbers.
-
-    This tokenizer's pieces never reach over white space, so the text between
-    it is tokenized once and kept; all other texts go to the library whole.
-    """
+class Pieces:
+    """Tokenizes text without white space; keeps the pieces it has merged."""
 
-    def __init__(self, path: str, entries: int = WORD_ENTRIES):
+    def __init__(self, path: str, entries: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.entries = entries
-        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         self.model = self.library.model
@@ -79,55 +74,71 @@ class Tokens:
         piece = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.symbols)
         return array(FOUR_BYTES, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Tokenizes words that are not in the table.
+    def learn(self, word: str) -> bytes:
+        """Ids of text without white space.
 
-        Most are letters and closing marks: two pieces, of which the first is
+        Most is letters and closing marks: two pieces, of which the first is
         looked up in lower case, so that it is merged once however it is
-        written and closed. All others go to the library as they are.
+        written and closed. All else goes to the library as it is.
         """
-        match, cores, tails, known = SIMPLE.fullmatch, self.cores, self.tails, self.words
-        if len(cores) > self.entries:
-            cores.clear()
-        other = []
-        for word in words:
-            if (m := match(word)) is None:
-                other.append(word)
-                continue
-            letters, tail = m.groups()
-            letters = letters.lower()
-            ids = cores.get(letters)
-            if ids is None:
-                ids = cores[letters] = self.core(letters)
-            if tail:
-                if tail not in tails:
-                    if len(tails) > self.entries:
-                        tails.clear()
-                    tails[tail] = self.whole(tail)
-                ids = ids + tails[tail]
-            known[word] = ids
-        for start in range(0, len(other), 4096):
-            some = other[start : start + 4096]
-            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = array(FOUR_BYTES, found.ids).tobytes()
+        if word.isascii() and word.isalpha():
+            letters, tail = word.lower(), ""
+        elif m := SIMPLE.fullmatch(word):
+            letters, tail = m[1].lower(), m[2]
+        else:
+            return self.whole(word)
+        cores, tails = self.cores, self.tails
+        ids = cores.get(letters)
+        if ids is None:
+            if len(cores) >= self.entries:
+                cores.clear()
+            ids = cores[letters] = self.core(letters)
+        if not tail:
+            return ids
+        if tail not in tails:
+            if len(tails) >= self.entries:
+                tails.clear()
+            tails[tail] = self.whole(tail)
+        return ids + tails[tail]
 
     def whole(self, text: str) -> bytes:
         return array(FOUR_BYTES, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        parts = []
-        for i, text in enumerate(texts):
-            if text and ODD_SPACE.search(text):
-                out[i] = self.whole(text)
-                parts.append(())
-            else:
-                parts.append((text or "").split())
-        if len(self.words) > self.entries:
+
+class Table(dict):
+    """Ids by the text between white space."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.pieces.learn(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+class Tokens:
+    """Ids of a text as little-endian unsigned 32-bit numbers.
+
+    This tokenizer's pieces never reach over white space, so the text between
+    it is tokenized once and kept; all other texts go to the library whole.
+    Nothing here refers back to its owner: a task's tables go when it ends.
+    """
+
+    def __init__(self, path: str, entries: int = WORD_ENTRIES):
+        self.pieces = Pieces(path, entries)
+        self.words = Table(self.pieces)
+        self.entries = entries
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if ODD_SPACE.search(text):
+            return self.pieces.whole(text)
+        if len(self.words) >= self.entries:
             self.words.clear()
-        self.learn(list(set().union(*parts) - self.words.keys()))
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) if o is None else o for o, p in zip(out, parts, strict=True)]
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "units")])
@@ -142,8 +153,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LEN
         end = np.asarray([end_id], "<u4").tobytes()
         for part in slices(batches):
             rows: list[list] = [[] for _ in PIECES]
-            for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids = tokens.encode(text) + end
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     size = min(length, n - start)

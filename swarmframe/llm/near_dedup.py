@@ -49,7 +49,7 @@ BLOCK_ROWS = 512
 LOOKS_ALIKE = VALUES * 8 // 10 - round(5 * (VALUES * 0.16) ** 0.5)
 #: A pair is linked if ALIKE[1] * intersection >= ALIKE[0] * union.
 ALIKE = (80, 100)
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 #: Bits of the map that marks texts whose sets are needed: 2**24 of them are 2 MB.
 BITMAP_BITS = 24
 

@@ -44,8 +44,8 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class PairCounter:
-    """Counts tokens under one byte-level vocabulary file."""
+class Merger:
+    """Merges pre-tokens under one byte-level vocabulary file; keeps the counts it has found."""
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         with open(path, encoding="utf-8") as f:
@@ -60,9 +60,7 @@ class PairCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.marks = tuple(special)
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.loose = regex.compile(r" \s")
         self.entries = entries
-        self.words = Table(self)
         self.parts: dict[str, int] = {}
 
     def merge(self, piece: str) -> int:
@@ -108,40 +106,52 @@ class PairCounter:
             self.parts[piece] = n - merges
         return n - merges
 
+    def count(self, text: str) -> int:
+        return sum(map(self.merge, self.pieces.findall(text)))
+
+
+class Table(dict):
+    """Tokens of a text that follows a space, up to the next one; the space belongs to it."""
+
+    def __init__(self, merger: Merger):
+        self.merger = merger
+
+    def __missing__(self, word: str) -> int:
+        n = self.merger.count(f" {word}")
+        if len(word) <= 64:
+            self[word] = n
+        return n
+
+
+class PairCounter:
+    """Counts the tokens of whole texts. Nothing it holds refers back to it: a task's tables go when it ends."""
+
+    def __init__(self, path: str, entries: int = TABLE_ENTRIES):
+        self.merger = Merger(path, entries)
+        self.words = Table(self.merger)
+        self.entries = entries
+        self.loose = regex.compile(r" \s")
+
     def plain(self, text: str) -> int:
         """Tokens of text without special strings."""
         if not text:
             return 0
         if self.loose.search(text):  # a space before other white space: pre-tokens may then reach over it
-            return sum(map(self.merge, self.pieces.findall(text)))
+            return self.merger.count(text)
         first, *rest = text.split(" ")
-        return sum(map(self.merge, self.pieces.findall(first))) + sum(map(self.words.__getitem__, rest))
+        return self.merger.count(first) + sum(map(self.words.__getitem__, rest))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if len(self.words) >= self.entries:
             self.words.clear()
-        if any(m in text for m in self.marks):
-            parts = self.special.split(text)
+        if any(m in text for m in self.merger.marks):
+            parts = self.merger.special.split(text)
             return sum(map(self.plain, parts)) + len(parts) - 1
         return self.plain(text)
 
 
-class Table(dict):
-    """Tokens of a text that follows a space, up to the next one; the space belongs to it."""
-
-    def __init__(self, owner: PairCounter):
-        self.owner = owner
-
-    def __missing__(self, word: str) -> int:
-        owner = self.owner
-        n = sum(map(owner.merge, owner.pieces.findall(f" {word}")))
-        if len(word) <= 64:
-            self[word] = n
-        return n
-
-
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows of one bucket of a ranking; a bucket is sorted by one task.
 RANK_BUCKET_ROWS = 4_096
+#: Rows of one Arrow batch: texts are long, and Spark's default of 10,000 rows is held several times over.
+BATCH_ROWS = 2_000
 #: Rows of one slice of an Arrow pass, so that one batch of long texts stays small.
 SLICE_ROWS = 256
 
@@ -67,6 +69,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` in batches of ``BATCH_ROWS``, unless the session asks for another number than the default."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -90,7 +100,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], text_col: str, ma
             arrays = [*part.columns, *(pa.array(v, t) for v, t in zip(new, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def group_key(column: Column) -> Column:

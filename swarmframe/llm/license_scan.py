@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices, table
+from .common import arrow_schema, map_batches, slices, table
 
 #: Each byte of UTF-8 text after lower-casing A-Z: digits, letters and all of non-ASCII stay, the rest parts words.
 WORD_BYTES = bytes(
@@ -161,7 +161,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 })
             yield pa.RecordBatch.from_pylist(rows, out)
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")), run, SCHEMA)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

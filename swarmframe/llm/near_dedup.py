@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, arrow_schema, slices, table
+from .common import append_columns, arrow_schema, map_batches, Scratch, slices, table
 
 TREES, BASE_DEPTH, VALUES = 32, 4, 128
 #: (trees, neighbours) of each round.
@@ -140,7 +140,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], schema=out)
 
-    return docs.mapInArrow(run, SETS)
+    return map_batches(docs, run, SETS)
 
 
 def star_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

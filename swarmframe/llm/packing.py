@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_schema, rank_within, slices, table
+from .common import arrow_schema, map_batches, rank_within, Scratch, slices, table
 from .token_counts import byte_symbols
 
 #: Unsigned 32-bit numbers; the ids are asked for in little-endian order.
@@ -162,7 +162,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LEN
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=out)
 
-    return docs.mapInArrow(run, PIECES)
+    return map_batches(docs, run, PIECES)
 
 
 def best_pattern(worth: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -290,7 +290,7 @@ def pack_sequences(docs: DataFrame, vocabulary: str | None = None, length: int =
             made = [at[:, 4] + local % np.maximum(1, at[:, 3]), at[:, 5] + local // np.maximum(1, at[:, 3])]
             yield pa.RecordBatch.from_arrays([*(part.column(names.index(f.name)) for f in schema.fields[:-2]), *map(pa.array, made)], schema=out)
 
-    placed = ranked.mapInArrow(assign, schema)
+    placed = map_batches(ranked, assign, schema)
     before = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("_place")
 

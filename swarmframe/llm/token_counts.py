@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices, table
+from .common import arrow_schema, map_batches, slices, table
 
 #: Entries of a worker's table before it is emptied.
 TABLE_ENTRIES = 600_000
@@ -167,7 +167,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
             sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], schema=out)
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")), run, SCHEMA)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,9 @@
 A text is its set of distinct word shingles. Copies (equal sets) fall into one
 class first. A class has a signature of ``VALUES`` minimum hashes; tree t of the
 forest sorts the classes by the signature turned by ``BASE_DEPTH`` x t values.
-Classes of one tree that share ``BASE_DEPTH`` leading values are a region; where
-a region holds too many classes it goes one level deeper, as deep as it must.
-In a region, the next classes in sorted order, which share the longest prefixes,
-are candidates. Every candidate is confirmed on the full sets.
+Classes of one tree that share ``BASE_DEPTH`` leading values are a region. In a
+region, the next classes in sorted order, which share the longest prefixes, are
+candidates. Every candidate is confirmed on the full sets.
 
 Rounds take more trees and wider neighbourhoods, each only between classes not
 yet in one component, so a group of thousands of near copies is joined by chains
@@ -16,6 +15,12 @@ tested in full, every member of one against every member of the other, in
 blocks. Components are found by alternating star steps on tables; nothing of all
 documents reaches the driver.
 
+A region of more than ``REGION_ROWS`` classes is parted for the rounds, up to
+twice as deep and then by hash, which may part a pair. So all classes that are in
+such a region of any tree are joined exactly in the end: two sets at the
+threshold share one of their rarest shingles (prefix filter), wherever the
+rounds have not already brought them together.
+
 A pair at similarity 0.8 shares no region in any of 32 trees of base depth 4
 with a probability of (1 - 0.8**4)**32, below 1e-7.
 
@@ -41,7 +46,7 @@ from .common import append_columns, arrow_schema, map_batches, Scratch, slices,
 TREES, BASE_DEPTH, VALUES = 32, 4, 128
 #: (trees, neighbours) of each round.
 ROUNDS = ((2, 1), (8, 2), (TREES, 6))
-#: Classes of a region that one task sorts; beyond, the region is split deeper.
+#: Classes of a region that one task sorts; beyond, the region is split for the rounds and its classes are joined exactly.
 REGION_ROWS = 20_000
 #: Members of a component in one block of the last tests.
 BLOCK_ROWS = 512
@@ -52,6 +57,8 @@ ALIKE = (80, 100)
 WORDS_KEPT = 300_000
 #: Bits of the map that marks texts whose sets are needed: 2**24 of them are 2 MB.
 BITMAP_BITS = 24
+#: Bits of the table of counts that orders shingles by rarity: 2**20 counts are 8 MB. Any order gives the same links.
+RARITY_BITS = 20
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -179,10 +186,11 @@ def forest_rows(classes: DataFrame) -> DataFrame:
 
 
 def split_regions(rows: DataFrame, most: int, region_rows: int) -> DataFrame:
-    """Goes deeper where a region holds too many; at full depth, equal keys are dealt out by hash.
+    """Goes deeper where a region holds too many, then deals the classes out by hash; adds ``hot`` for all rows of such regions.
 
-    The deal differs from tree to tree, so classes that one tree parts meet in others.
+    This only serves the rounds. A pair that it parts is found by ``rarest_pairs`` among the hot classes.
     """
+    rows = rows.withColumn("hot", F.col("in_region") > region_rows)
     for deeper in (F.shiftright("rest", 32), F.col("rest")):
         if most <= region_rows:
             return rows
@@ -236,13 +244,13 @@ def relabel(labels: DataFrame | None, edges: DataFrame, scratch: Scratch, name:
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int], split: bool) -> DataFrame:
+def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int]) -> DataFrame:
     """(a, b): labels of which some members share a dense region and have signatures that look alike.
 
     Smaller regions need no second look: there, every class met every other. So
     two classes are only looked at in the first tree in which they share a
-    region: if that region is small they are settled. Where regions were split,
-    their values do not tell, and every tree is looked at.
+    region: if that region is small they are settled, and if it was split (its
+    rows are not here) both are hot and joined exactly.
     """
     reach = ROUNDS[-1][1]
     dense = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("m") > reach + 1) & (F.col("x") != F.col("y")))
@@ -263,9 +271,7 @@ def alike_components(rows: DataFrame, classes: DataFrame, alike: tuple[int, int]
             fit = (alike[1] * np.minimum(sizes, sizes[row]) >= alike[0] * np.maximum(sizes, sizes[row])) & (at != at[row])
             some = np.flatnonzero(fit)
             near = some[(values[some] == values[row]).sum(1) >= LOOKS_ALIKE]
-            if not split:
-                shared = (heads[near] == heads[row]).argmax(1)
-                near = near[shared == tree]
+            near = near[(heads[near] == heads[row]).argmax(1) == tree]
             found |= {(min(int(names[at[row]]), x), max(int(names[at[row]]), x)) for x in np.unique(labels[near]).tolist()}
         pairs = sorted(found)
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=out)
@@ -322,6 +328,77 @@ def test_components(pairs: DataFrame, members: DataFrame, alike: tuple[int, int]
     return left.groupBy("big", "block", "chunk").cogroup(right.groupBy("of", "in_block", "in_chunk")).applyInArrow(ask, PAIRS).distinct()
 
 
+PREFIXES = T.StructType([T.StructField(c, T.LongType()) for c in ("cls", "n", "label", "key", "at")])
+COUNTS = T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def rarest_pairs(members: DataFrame, alike: tuple[int, int], scratch: Scratch, block_rows: int = REGION_ROWS) -> DataFrame:
+    """(a, b, la, lb): all pairs of members (cls, keys, label) of different labels that may be linked; none that is linked is left out.
+
+    In one order of all shingles, two sets that overlap enough have their first
+    common shingle among the first n - ceil(s n) + 1 of the larger one and the
+    first n - ceil(2 s n / (1 + s)) + 1 of the smaller one, for the similarity
+    s. Rare shingles come first, so what thousands of texts share is met only
+    where they are near it. Within one label nothing is paired: of the label
+    that has the most members at a shingle, only pairs with others are made.
+    """
+    spark, (over, under) = members.sparkSession, alike
+    counted, out = arrow_schema(COUNTS), arrow_schema(PREFIXES)
+    slot = lambda keys: (keys.view(np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << RARITY_BITS, np.int64)
+        for part in batches:
+            held += np.bincount(slot(part.column(0).flatten().to_numpy()), minlength=len(held))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], schema=counted)
+
+    counts = map_batches(members.select("keys"), count, COUNTS).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2**RARITY_BITS rows
+    table_ = np.zeros(1 << RARITY_BITS, np.int64)
+    table_[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    handle = spark.sparkContext.broadcast(table_)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = handle.value
+        for part in slices(batches):
+            rows: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in PREFIXES]
+            for cls, label, keys in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                keys = keys.values.to_numpy()
+                n = len(keys)
+                most = n + over * n // -under + 1
+                keys = keys[np.lexsort((keys, often[slot(keys)]))[:most]]
+                for column, v in zip(rows, (np.full(most, cls), np.full(most, n), np.full(most, label), keys, np.arange(most)), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], schema=out)
+
+    prefixes = scratch.save(map_batches(members.select("cls", "label", "keys"), first, PREFIXES), "prefixes")
+    of_label = prefixes.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    keys = of_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main"))
+    keys = scratch.save(keys.where("labels > 1").select("key", "main", F.ceil(F.col("m") / block_rows).cast("int").alias("parts")), "keys")
+    met = scratch.save(prefixes.join(keys, "key").withColumn("minor", F.col("label") != F.col("main")), "met")
+    # the smaller set, to its shorter prefix, is dealt to the parts of its shingle, the larger one goes to all of them
+    small = met.where(F.expr(f"{over + under} * at <= {under - over} * n")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    large = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = lambda rows, end: rows.select("key", "part", *[F.col(c).alias(f"{c}_{end}") for c in ("cls", "n", "label", "at")])
+    fits = F.expr(
+        f"label_x <> label_y AND (n_x < n_y OR n_x = n_y AND cls_x < cls_y) AND {under} * n_x >= {over} * n_y"
+        f" AND {over + under} * least(n_x - at_x, n_y - at_y) >= {over} * (n_x + n_y)"
+    )
+    pairs = [x(a, "x").join(x(b, "y"), ["key", "part"]).where(fits) for a, b in ((small.where("minor"), large), (small.where("NOT minor"), large.where("minor")))]
+    return pairs[0].unionByName(pairs[1]).select(
+        F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"),
+        F.least("label_x", "label_y").alias("la"), F.greatest("label_x", "label_y").alias("lb"),
+    ).distinct()
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b, la, lb) and ``linked``, from the full sets."""
+    one, two = sets.select(F.col("cls").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("cls").alias("b"), F.col("keys").alias("kb"))
+    common = F.size(F.array_intersect("ka", "kb")).cast("long")
+    both = pairs.join(one, "a").join(two, "b").withColumn("common", common).withColumn("united", F.size("ka") + F.size("kb") - F.col("common"))
+    return both.select("a", "b", "la", "lb", F.expr(f"{alike[1]} * common >= {alike[0]} * united").alias("linked"))
+
+
 def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", alike: tuple[int, int] = ALIKE, region_rows: int = REGION_ROWS) -> tuple[DataFrame, Scratch]:
     """doc_id, n_shingles and component_id of every row, and the tables it reads."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -351,18 +428,22 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
         ).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        one, two = sets.select(F.col("cls").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("cls").alias("b"), F.col("keys").alias("kb"))
-        common = F.size(F.array_intersect("ka", "kb")).cast("long")
-        both = pairs.join(one, "a").join(two, "b").withColumn("common", common).withColumn("united", F.size("ka") + F.size("kb") - F.col("common"))
-        linked = F.expr(f"{alike[1]} * common >= {alike[0]} * united")
-        tested = scratch.save(both.select("a", "b", "la", "lb", linked.alias("linked")), f"pairs-{k}")
+        tested = scratch.save(confirm(pairs, sets, alike), f"pairs-{k}")
         checked = tested.select("a", "b") if checked is None else checked.unionByName(tested.select("a", "b"))
         edges = tested.where("linked").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         if not edges.head(1):
             continue
         labels = relabel(labels, edges, scratch, f"labels-{k}")
+    if most > region_rows:
+        hot = rows.where("hot").select("cls").distinct()
+        pairs = rarest_pairs(with_labels(sets.join(hot, "cls", "left_semi"), labels), alike, scratch)
+        tested = scratch.save(confirm(pairs.join(checked, ["a", "b"], "left_anti"), sets, alike), "pairs-hot")
+        edges = tested.where("linked").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        if edges.head(1):
+            labels = relabel(labels, edges, scratch, "labels-hot")
+        rows = rows.where("NOT hot")
     marked = with_labels(rows.select("tree", "region", "cls", "n"), labels)
-    alike_labels = scratch.save(alike_components(marked, classes, alike, most > region_rows), "alike")
+    alike_labels = scratch.save(alike_components(marked, classes, alike), "alike")
     if alike_labels.head(1):
         edges = scratch.save(test_components(alike_labels, with_labels(sets, labels), alike, scratch), "last")
         if edges.head(1):

@@ -136,6 +136,21 @@ def test_dense_regions_are_settled_in_full(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ND.near_components(docs, 2)[0].collect()} == want
 
 
+def test_pairs_over_a_shared_template_are_all_found(spark):
+    """Pairs at exactly 0.8 in regions far above the bound: each has no other link, so a region that parts them must not lose it."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrst") for _ in range(9))
+    template = [word() for _ in range(75)]
+    texts = {}
+    for pair in range(400):
+        shared = [word() for _ in range(5)]
+        for k in range(2):
+            texts[2 * pair + k] = " ".join(template + shared + [word() for _ in range(10)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ND.near_components(docs, 1, region_rows=8)[0].collect()}
+    assert got == {d: d - d % 2 for d in texts}
+
+
 def test_components_on_the_table(spark, data):
     texts = {r.doc_id: r.text for r in table(spark, data, "documents").collect()}
     rows = ND.op3_near_dedup(spark, data).collect()

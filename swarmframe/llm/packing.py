@@ -10,6 +10,10 @@ packed first-fit decreasing, and patterns are then assigned to the pieces of
 each length by their rank. The driver's work depends on the number of lengths,
 never on the number of documents.
 
+Ranks go by a hash, or by the order of the rows in the files that are read
+(``in_order``): then all patterns are dealt over ``SPANS`` spans, each takes the
+next pieces of every length, and sequences are numbered span after span.
+
 Defined results: a null or empty text has only its end token; repeated rows are
 each packed; rows with a null id are packed too; only id and text are read; an
 empty table gives no rows.
@@ -39,6 +43,8 @@ FOUR_BYTES = "I"
 assert array(FOUR_BYTES).itemsize == 4 and sys.byteorder == "little"
 
 LENGTH, UNIT, END_ID = 2048, 8, 1
+#: Spans of sequences in which the order of the rows is followed.
+SPANS = 64
 #: The linear program stops within this share of its optimum.
 GAP = 1e-3
 #: Entries of a worker's table of tokenized words before it is emptied.
@@ -144,25 +150,46 @@ class Tokens:
 PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "units")])
 
 
+ORDERED = T.StructType([*PIECES, T.StructField("_order", T.LongType())])
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document (id, text): full sequences, then what is left."""
-    out = arrow_schema(PIECES)
+    """The pieces of every document (id, text, and _order if there is one): full sequences, then what is left."""
+    schema = ORDERED if "_order" in docs.columns else PIECES
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(vocabulary or default_vocabulary())
         end = np.asarray([end_id], "<u4").tobytes()
         for part in slices(batches):
-            rows: list[list] = [[] for _ in PIECES]
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            rows: list[list] = [[] for _ in schema]
+            for doc, text, *order in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 ids = tokens.encode(text) + end
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     size = min(length, n - start)
-                    for column, v in zip(rows, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, -(-size // unit)), strict=True):
+                    for column, v in zip(rows, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, -(-size // unit), *order), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=out)
 
-    return map_batches(docs, run, PIECES)
+    return map_batches(docs, run, schema)
+
+
+def with_order(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, read from Parquet files, and ``_order``: the place of the row over all files, spread over 60 bits.
+
+    A sorted frame is written to numbered files; a reader takes them in any order, but knows file and row.
+    """
+    read = docs.metadataColumn("_metadata")
+    rows = docs.select("*", read["file_path"].alias("_file"), read["row_index"].alias("_at"))
+    counts = {r["_file"]: r["count"] for r in rows.groupBy("_file").count().collect()}  # a row for each file
+    number = lambda path: int(m[1]) if (m := re.search(r"/part-(\d+)[^/]*$", path)) else -1
+    starts, total = [], 0
+    for path in sorted(counts, key=lambda path: (number(path), path)):
+        starts.append((path, total))
+        total += counts[path]
+    files = docs.sparkSession.createDataFrame(starts, "_file string, _before long")
+    return rows.join(F.broadcast(files), "_file").withColumn("_order", (F.col("_before") + F.col("_at")) * F.lit((1 << 60) // max(1, total))).drop("_file", "_at", "_before")
 
 
 def best_pattern(worth: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -230,11 +257,12 @@ def solve_patterns(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int
     return basis, use
 
 
-def draw_plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int, int, int]]:
+def draw_plan(histogram: dict[int, int], room: int, spans: int = 1) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (units, first rank, items, sequences, first sequence, first place in a sequence).
 
     Items of the row's length with ranks from ``first rank`` go one to each of
-    its sequences in turn; the next round goes to the next place.
+    its sequences in turn; the next round goes to the next place. Every pattern
+    is dealt evenly over the ``spans``.
     """
     sizes = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[s] for s in sizes.tolist()], np.int64)
@@ -255,6 +283,9 @@ def draw_plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int,
             fit[0] -= int(sizes[k])
             fit[1][k] += 1
     columns += [(r[1], 1) for r in open_rooms]
+    if spans > 1:
+        upto = lambda s, k: (s * columns[k][1] * len(columns) + k * spans) // (spans * len(columns))
+        columns = [(columns[k][0], n) for s in range(spans) for k in range(len(columns)) if (n := upto(s + 1, k) - upto(s, k))]
     rank = np.zeros(len(sizes), np.int64)
     plan, sequence = [], 0
     for pattern, times in columns:
@@ -268,13 +299,15 @@ def draw_plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int,
     return sorted(plan)
 
 
-def pack_sequences(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every piece with its sequence and offset."""
+def pack_sequences(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
+    """Every piece with its sequence and offset; ``in_order``: sequences follow the order of the rows in their files."""
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.save(cut_pieces(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), vocabulary, length, unit), "pieces")
+    slim = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    slim = with_order(docs).select(*slim, "_order") if in_order else docs.select(*slim)
+    pieces = scratch.save(cut_pieces(slim, vocabulary, length, unit), "pieces")
     histogram = {r["units"]: r["count"] for r in pieces.groupBy("units").count().collect()}  # a row for each length: at most length / unit
-    plan = draw_plan(histogram, math.ceil(length / unit))
-    order = F.shiftrightunsigned(F.xxhash64("doc_id", "start"), 4)
+    plan = draw_plan(histogram, math.ceil(length / unit), SPANS if in_order else 1)
+    order = F.col("_order") if in_order else F.shiftrightunsigned(F.xxhash64("doc_id", "start"), 4)
     ranked = rank_within(pieces.withColumn("_order", order), "units", "_order", ["doc_id", "start", "ids_crc32"], histogram).drop("_order", "group_rows")
     schema = T.StructType([f for f in ranked.schema.fields if f.name not in ("rank", "units")] + [T.StructField("sequence_id", T.LongType()), T.StructField("_place", T.LongType())])
     names = ranked.columns

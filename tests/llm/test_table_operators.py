@@ -509,6 +509,25 @@ def test_stages(spark, data, tmp_path):
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, docs.collect()))
 
 
+def test_the_mixture_reaches_the_sequences(spark, tmp_path):
+    """Sequences take sources by weight until one runs out, and differ from those packed without the stage."""
+    draw = random.Random(13)
+    sources = ["a"] * 4000 + ["b"] * 400
+    draw.shuffle(sources)
+    rows = [(k, " ".join(draw.choice(["some", "words", "of", "text"]) for _ in range(draw.randint(5, 60))), "en", s, None) for k, s in enumerate(sources)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "before"))
+    before = spark.read.parquet(str(tmp_path / "before"))
+    corpus_pipeline.mixture(spark, before, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert Counter(map(tuple, mixed)) != Counter(map(tuple, corpus_pipeline.pack(spark, before, "").collect()))
+    assert sorted(r.doc_id for r in mixed) == list(range(len(rows)))
+    share = 400**MX.ALPHA / (400**MX.ALPHA + 4000**MX.ALPHA)  # 0.17, against 0.09 of the rows
+    docs = [sources[r.doc_id] for r in sorted(mixed, key=lambda r: (r.sequence_id, r.offset))]
+    for k in range(3):
+        assert abs(docs[700 * k : 700 * k + 700].count("b") / 700 - share) < 0.03
+    assert docs[3000:].count("b") == 0
+
+
 def test_every_stage_takes_an_empty_table(spark, data):
     docs = table(spark, data, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:

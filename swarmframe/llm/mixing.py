@@ -5,29 +5,37 @@ weight w is released at slot floor(i / w) and due by slot ceil((i + 1) / w);
 earliest deadline first among the released blocks fills one slot after another,
 and every source stays within one block of its share at every slot.
 
-Weights are whole shares of ``SHARES``, so the schedule repeats after as many
-slots as there are shares: it is drawn up once for a period, and every block
-finds its slot by arithmetic and one join. When a source runs out, a new phase
-begins at the next slot, in which the sources left keep their relative weights.
-All rows are kept.
+Weights are taken exactly, as the rational numbers they are, and the schedule is
+drawn up block by block: work and memory of the driver grow with the number of
+blocks. With ``shares``, weights are rounded to whole shares instead, and the
+schedule repeats after as many slots as there are shares: it is drawn up once for
+a period, and every block finds its slot by arithmetic and one join. The rounded
+shares then bound the deviation, not the weights. ``op4_mixing`` and its SQL are
+defined by ``SHARES`` shares. When a source runs out, a new phase begins at the
+next slot, in which the sources left keep their relative weights. All rows are
+kept.
 
 Defined results: a null source is a source of its own; a source without a given
-weight gets the least share; weights that are missing altogether are row counts
-to the power ``ALPHA``; the last block of a source may be short; repeated rows
-are each dealt; an empty table gives no rows. Text is not read for the order.
+weight has weight 0, and such sources come last, in equal parts (with ``shares``,
+it gets the least share); weights that are missing altogether are row counts to
+the power ``ALPHA``; the last block of a source may be short; repeated rows are
+each dealt; an empty table gives no rows. Text is not read for the order.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import group_key, md5_order, rank_within, table
 
-#: Shares that weights are rounded to, rows of a block, the power of the default weights, the seed of the shuffle.
+#: Shares that op4_mixing rounds weights to, rows of a block, the power of the default weights, the seed of the shuffle.
 SHARES, BLOCK_ROWS, ALPHA, SEED = 1024, 16, 0.7, 5
 #: Plan rows up to which the plan is broadcast (some 60 bytes each); beyond, Spark shuffles it.
 BROADCAST_ROWS = 100_000
@@ -102,15 +110,76 @@ def plan(blocks: dict[str, int], shares: dict[str, int]) -> list[tuple[str, int,
     return rows
 
 
-def placed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, shares: int = SHARES, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``_row`` (a row of ``docs``), ``_block``, ``_slot``, ``_phase`` and ``_inside`` (place in the block)."""
+def exact_schedule(blocks: dict[str, int], weights: dict[str, float]) -> tuple[list[str], array, array]:
+    """The sources by name, and of each slot the number of its source and its phase.
+
+    At every slot of a phase, every source is less than one block from its exact part of the phase.
+    """
+    names = sorted(s for s in blocks if blocks[s])
+    left = [blocks[s] for s in names]
+    weight = [Fraction(max(0, weights.get(s, 0))) for s in names]
+    sources, phases, phase = array("q"), array("q"), 0
+    while any(left):
+        alive = [k for k in range(len(names)) if left[k]]
+        own = {k: weight[k] for k in alive if weight[k]} or dict.fromkeys(alive, Fraction(1))
+        scale = math.lcm(*(w.denominator for w in own.values()))
+        part = {k: int(w * scale) for k, w in own.items()}
+        g = math.gcd(*part.values())
+        part = {k: q // g for k, q in part.items()}
+        n = sum(part.values())
+        waiting = [(0, -(-n // q), k, 0) for k, q in part.items()]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int, int]] = []
+        slot = 0
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                _, due, k, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, k, i))
+            due, k, i = heapq.heappop(ready)
+            if due <= slot:
+                raise AssertionError("a block missed its deadline")
+            sources.append(k)
+            phases.append(phase)
+            slot, i = slot + 1, i + 1
+            left[k] -= 1
+            if not left[k]:
+                break
+            heapq.heappush(waiting, (i * n // part[k], -(-(i + 1) * n // part[k]), k, i))
+        phase += 1
+    return names, sources, phases
+
+
+def exact_slots(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """``_source``, ``_block``, ``_slot`` and ``_phase`` of every block; the driver holds 32 bytes for each."""
+    names, sources, phases = exact_schedule(blocks, weights)
+    done, of = [0] * len(names), array("q")
+    for k in sources:
+        of.append(done[k])
+        done[k] += 1
+    columns = {"_k": sources, "_block": of, "_slot": array("q", range(len(sources))), "_phase": phases}
+    slots = spark.createDataFrame(pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()}))
+    named = spark.createDataFrame(list(enumerate(names)), "_k long, _source string")
+    return slots.join(F.broadcast(named), "_k").select("_source", "_block", "_slot", F.col("_phase").cast("int").alias("_phase"))
+
+
+def placed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, shares: int | None = None, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``_row`` (a row of ``docs``), ``_block``, ``_slot``, ``_phase`` and ``_inside`` (place in the block).
+
+    Weights are exact, or rounded to so many ``shares``.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), group_key(docs[source_col]).alias("_source"), md5_order(seed, F.coalesce(docs[id_col].cast("string"), F.lit("null"))).alias("_order"))
     counts = {r["_source"]: r["count"] for r in rows.groupBy("_source").count().collect()}  # a row for each source
     given = {("null" if s is None else f"={s}"): w for s, w in (weights or {}).items()}
-    part = whole_shares({s: given.get(s, 0.0) if weights is not None else n**alpha for s, n in counts.items()}, shares) if counts else {}
+    target = {s: given.get(s, 0.0) if weights is not None else n**alpha for s, n in counts.items()}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    drawn = plan(blocks, part)
+    if shares is None:
+        slots = exact_slots(spark, blocks, target)
+        slots = F.broadcast(slots) if sum(blocks.values()) <= BROADCAST_ROWS else slots
+        ranked = rank_within(rows, "_source", "_order", ["_id"], counts)
+        placed = ranked.withColumn("_block", F.expr(f"rank div {block_rows}")).withColumn("_inside", (F.col("rank") % block_rows).cast("int"))
+        return placed.join(slots, ["_source", "_block"]).select("_row", "_block", "_slot", "_phase", "_inside")
+    drawn = plan(blocks, whole_shares(target, shares) if counts else {})
     schema = "_source string, _phase int, _first long, _took long, _start long, _slots long, _share long, _j long, _t long"
     schedule = spark.createDataFrame(drawn, schema)
     phases = schedule.where("_j = 0").select("_source", "_phase", "_first", "_took", "_start", "_slots", "_share")
@@ -139,7 +208,7 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, *
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    out = mix_slots(docs)
+    out = mix_slots(docs, shares=SHARES)
     return out.select("doc_id", "source", F.col("_block").alias("block"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"), F.col("_inside").alias("place"))
 
 

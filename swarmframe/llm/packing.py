@@ -306,7 +306,7 @@ def pack_sequences(docs: DataFrame, vocabulary: str | None = None, length: int =
     slim = with_order(docs).select(*slim, "_order") if in_order else docs.select(*slim)
     pieces = scratch.save(cut_pieces(slim, vocabulary, length, unit), "pieces")
     histogram = {r["units"]: r["count"] for r in pieces.groupBy("units").count().collect()}  # a row for each length: at most length / unit
-    plan = draw_plan(histogram, math.ceil(length / unit), SPANS if in_order else 1)
+    rows = np.array(draw_plan(histogram, math.ceil(length / unit), SPANS if in_order else 1), np.int64).reshape(-1, 6)
     order = F.col("_order") if in_order else F.shiftrightunsigned(F.xxhash64("doc_id", "start"), 4)
     ranked = rank_within(pieces.withColumn("_order", order), "units", "_order", ["doc_id", "start", "ids_crc32"], histogram).drop("_order", "group_rows")
     schema = T.StructType([f for f in ranked.schema.fields if f.name not in ("rank", "units")] + [T.StructField("sequence_id", T.LongType()), T.StructField("_place", T.LongType())])
@@ -314,7 +314,6 @@ def pack_sequences(docs: DataFrame, vocabulary: str | None = None, length: int =
     out = arrow_schema(schema)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.array(plan, np.int64).reshape(-1, 6)
         starts = rows[:, 0] << 44 | rows[:, 1]
         for part in batches:
             units, rank = (part.column(names.index(c)).to_numpy() for c in ("units", "rank"))

@@ -242,6 +242,28 @@ def test_slots_equal_a_simulation(spark):
     assert Counter(mixed.collect()) == Counter(docs.collect())
 
 
+def test_deviation_from_unrounded_weights(spark):
+    """Less than one block from the weights themselves, not from rounded ones; far below 1/1024, and with more than 1,024 sources."""
+    from fractions import Fraction
+
+    small = {"a": 1.0, "b": 0.37, "c": 0.0001}
+    many = {f"s{k:04}": 1.0 + (k % 7) for k in range(1100)}
+    for weights, blocks in ((small, {"a": 40_000, "b": 40_000, "c": 40_000}), (many, dict.fromkeys(many, 30))):
+        names, sources, phases = MX.exact_schedule(blocks, weights)
+        assert len(sources) == sum(blocks.values()) and Counter(sources) == Counter({k: blocks[s] for k, s in enumerate(names)})
+        total, done = sum(map(Fraction, weights.values())), Counter()
+        first = list(zip(sources, phases, strict=True))[: phases.count(0)]
+        for t, (k, _) in enumerate(first):
+            done[k] += 1
+            for x in range(len(names)) if t % 997 == 0 or t == len(first) - 1 else (k,):
+                assert abs(done[x] - (t + 1) * Fraction(weights[names[x]]) / total) < 1
+    docs = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(3000)], "doc_id long, source string")
+    rows = MX.mix_slots(docs, small, block_rows=1).collect()
+    assert sorted(r._slot for r in rows) == list(range(3000)) and Counter(r.source for r in rows) == Counter("abc" * 1000)
+    assert sum(r.source == "c" for r in rows if r._slot < 1300) <= 1
+    assert all(r._slot >= 2000 for r in MX.mix_slots(docs, {"a": 1, "b": 1}, block_rows=1).collect() if r.source == "c")
+
+
 def test_mixing_edges(spark, odd):
     assert Counter(r.doc_id for r in MX.mix_order(odd).collect()) == Counter(d for d, *_ in ODD)
     assert MX.mix_order(odd.limit(0)).count() == 0

@@ -5,21 +5,21 @@ weight w is released at slot floor(i / w) and due by slot ceil((i + 1) / w);
 earliest deadline first among the released blocks fills one slot after another,
 and every source stays within one block of its share at every slot.
 
-Weights are taken exactly, as the rational numbers they are, and the schedule is
-drawn up block by block: work and memory of the driver grow with the number of
-blocks. With ``shares``, weights are rounded to whole shares instead, and the
-schedule repeats after as many slots as there are shares: it is drawn up once for
-a period, and every block finds its slot by arithmetic and one join. The rounded
-shares then bound the deviation, not the weights. ``op4_mixing`` and its SQL are
-defined by ``SHARES`` shares. When a source runs out, a new phase begins at the
-next slot, in which the sources left keep their relative weights. All rows are
-kept.
+Weights are taken exactly, as the rational numbers they are. The schedule is
+drawn up block by block on the driver, so the number of blocks is bounded: a
+block has ``BLOCK_ROWS`` rows, or as many more as make ``BLOCKS`` blocks of the
+whole table (and one more for each source). Blocks that long are not dealt out
+one after another: ``GROUP`` slots at a time go round by round, ``BLOCK_ROWS``
+rows of each, so that short stretches keep the mixture as well. When a source
+runs out, a new phase begins at the next slot, in which the sources left keep
+their relative weights. All rows are kept.
 
 Defined results: a null source is a source of its own; a source without a given
-weight has weight 0, and such sources come last, in equal parts (with ``shares``,
-it gets the least share); weights that are missing altogether are row counts to
-the power ``ALPHA``; the last block of a source may be short; repeated rows are
-each dealt; an empty table gives no rows. Text is not read for the order.
+weight has weight 0, and such sources come last, in equal parts; weights that
+are missing altogether are row counts to the power ``ALPHA``, in whole
+thousandths; the last block of a source may be short; repeated rows are each
+dealt; columns named as those that are added give way to them; an empty table
+gives no rows. Text is not read for the order.
 """
 
 from __future__ import annotations
@@ -35,79 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import group_key, md5_order, rank_within, table
 
-#: Shares that op4_mixing rounds weights to, rows of a block, the power of the default weights, the seed of the shuffle.
-SHARES, BLOCK_ROWS, ALPHA, SEED = 1024, 16, 0.7, 5
-#: Plan rows up to which the plan is broadcast (some 60 bytes each); beyond, Spark shuffles it.
-BROADCAST_ROWS = 100_000
-
-
-def whole_shares(weights: dict[str, float], shares: int = SHARES) -> dict[str, int]:
-    """Whole shares, each at least 1, by largest remainders; their sum is ``shares`` unless there are more sources."""
-    names = sorted(weights)
-    total = sum(max(0.0, weights[s]) for s in names) or 1.0
-    ideal = {s: max(1.0, shares * max(0.0, weights[s]) / total) for s in names}
-    out = {s: math.floor(ideal[s]) for s in names}
-    left = shares - sum(out.values())
-    for s in sorted(names, key=lambda s: (out[s] - ideal[s], s))[: max(0, left)]:
-        out[s] += 1
-    while left < 0 and any(v > 1 for v in out.values()):
-        s = max(names, key=lambda s: (out[s], s))
-        out[s] -= 1
-        left += 1
-    return out
-
-
-def period(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    n = sum(shares.values())
-    waiting = [(0, -(-n // q), s, 0) for s, q in shares.items()]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(n):
-        while waiting and waiting[0][0] <= slot:
-            _, due, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, i))
-        due, s, i = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block missed its deadline")
-        out.append(s)
-        i += 1
-        if i < shares[s]:
-            heapq.heappush(waiting, (i * n // shares[s], -(-(i + 1) * n // shares[s]), s, i))
-    return out
-
-
-def plan(blocks: dict[str, int], shares: dict[str, int]) -> list[tuple[str, int, int, int, int, int, int, int]]:
-    """Rows (source, phase, first block, blocks, first slot, slots of a period, share, block in period, slot in period), flat.
-
-    Depends on the number of sources and on SHARES, not on rows: at most
-    sources x (SHARES + sources) rows.
-    """
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    slot, phase, rows = 0, 0, []
-    while left:
-        own = {s: shares[s] for s in left}
-        g = math.gcd(*own.values())
-        own = {s: q // g for s, q in own.items()}
-        order = period(own)
-        n = len(order)
-        at: dict[str, list[int]] = {s: [] for s in own}
-        for t, s in enumerate(order):
-            at[s].append(t)
-        last = min((left[s] - 1) // own[s] * n + at[s][(left[s] - 1) % own[s]] for s in left)  # where the first source runs out
-        length = last + 1
-        for s in own:
-            full, part = divmod(length, n)
-            took = full * own[s] + sum(t < part for t in at[s])
-            rows += [(s, phase, done[s], took, slot, n, own[s], j, t) for j, t in enumerate(at[s])]
-            done[s] += took
-            left[s] -= took
-        left = {s: k for s, k in left.items() if k}
-        slot += length
-        phase += 1
-    return rows
+#: Rows of a block, the power of the default weights, the seed of the shuffle.
+BLOCK_ROWS, ALPHA, SEED = 16, 0.7, 5
+#: Blocks beyond which blocks hold more rows, and slots that are dealt together then.
+BLOCKS, GROUP = 1 << 18, 64
+#: Slots up to which the schedule is broadcast (some 60 bytes each); beyond (more sources than that), Spark shuffles it.
+BROADCAST_ROWS = 1 << 19
+
+
+def default_weight(rows: int, alpha: float = ALPHA) -> int:
+    return max(1, math.floor(1000 * rows**alpha + 0.5))
 
 
 def exact_schedule(blocks: dict[str, int], weights: dict[str, float]) -> tuple[list[str], array, array]:
@@ -162,66 +99,46 @@ def exact_slots(spark: SparkSession, blocks: dict[str, int], weights: dict[str,
     return slots.join(F.broadcast(named), "_k").select("_source", "_block", "_slot", F.col("_phase").cast("int").alias("_phase"))
 
 
-def placed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, shares: int | None = None, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``_row`` (a row of ``docs``), ``_block``, ``_slot``, ``_phase`` and ``_inside`` (place in the block).
-
-    Weights are exact, or rounded to so many ``shares``.
-    """
+def placed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, blocks_most: int = BLOCKS, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``_row`` (a row of ``docs``), ``_block``, ``_slot``, ``_phase``, ``_inside`` (place in the block) and ``_round``."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), group_key(docs[source_col]).alias("_source"), md5_order(seed, F.coalesce(docs[id_col].cast("string"), F.lit("null"))).alias("_order"))
     counts = {r["_source"]: r["count"] for r in rows.groupBy("_source").count().collect()}  # a row for each source
     given = {("null" if s is None else f"={s}"): w for s, w in (weights or {}).items()}
-    target = {s: given.get(s, 0.0) if weights is not None else n**alpha for s, n in counts.items()}
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    if shares is None:
-        slots = exact_slots(spark, blocks, target)
-        slots = F.broadcast(slots) if sum(blocks.values()) <= BROADCAST_ROWS else slots
-        ranked = rank_within(rows, "_source", "_order", ["_id"], counts)
-        placed = ranked.withColumn("_block", F.expr(f"rank div {block_rows}")).withColumn("_inside", (F.col("rank") % block_rows).cast("int"))
-        return placed.join(slots, ["_source", "_block"]).select("_row", "_block", "_slot", "_phase", "_inside")
-    drawn = plan(blocks, whole_shares(target, shares) if counts else {})
-    schema = "_source string, _phase int, _first long, _took long, _start long, _slots long, _share long, _j long, _t long"
-    schedule = spark.createDataFrame(drawn, schema)
-    phases = schedule.where("_j = 0").select("_source", "_phase", "_first", "_took", "_start", "_slots", "_share")
-    # ranges of one source's phases as an array: a block's phase is the last that begins at or before it
-    phases = phases.where("_took > 0").groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_first", "_phase", "_took", "_start", "_slots", "_share"))).alias("_phases"))
-    if len(drawn) <= BROADCAST_ROWS:
-        phases, schedule = F.broadcast(phases), F.broadcast(schedule)
+    target = {s: given.get(s, 0.0) if weights is not None else default_weight(n, alpha) for s, n in counts.items()}
+    size = max(block_rows, -(-sum(counts.values()) // blocks_most))
+    blocks = {s: -(-n // size) for s, n in counts.items()}
+    slots = exact_slots(spark, blocks, target)
+    slots = F.broadcast(slots) if sum(blocks.values()) <= BROADCAST_ROWS else slots
     ranked = rank_within(rows, "_source", "_order", ["_id"], counts)
-    placed = ranked.withColumn("_block", F.expr(f"rank div {block_rows}")).withColumn("_inside", (F.col("rank") % block_rows).cast("int")).join(phases, "_source")
-    placed = placed.withColumn("_p", F.element_at(F.filter("_phases", lambda p: p["_first"] <= F.col("_block")), -1)).withColumn("_phase", F.col("_p._phase"))
-    placed = placed.withColumn("_since", F.col("_block") - F.col("_p._first")).withColumn("_j", F.col("_since") % F.col("_p._share"))
-    slots = schedule.select("_source", "_phase", "_j", "_t")
-    whole = F.col("_p._start") + F.expr("_since div _p._share") * F.col("_p._slots") + F.col("_t")
-    return placed.join(slots, ["_source", "_phase", "_j"]).select("_row", "_block", whole.alias("_slot"), "_phase", "_inside")
+    placed = ranked.withColumn("_block", F.expr(f"rank div {size}")).withColumn("_inside", F.col("rank") % size)
+    return placed.join(slots, ["_source", "_block"]).select("_row", "_block", "_slot", "_phase", F.col("_inside").cast("int").alias("_inside"), F.expr(f"_inside div {block_rows}").alias("_round"))
 
 
 def mix_slots(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
     """All columns of ``docs``, then ``_block``, ``_slot``, ``_phase`` and ``_inside`` (place in the block)."""
-    return placed_rows(docs, weights, **options).select("_row.*", "_block", "_slot", "_phase", "_inside")
+    made = ("_block", "_slot", "_phase", "_inside")
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in made]
+    return placed_rows(docs, weights, **options).select(*kept, *made)
 
 
 def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
     """The rows of ``docs``, all of them, sorted into the mixed order; columns as they were."""
-    return placed_rows(docs, weights, **options).orderBy("_slot", "_inside").select("_row.*")
+    return placed_rows(docs, weights, **options).orderBy(F.expr(f"_slot div {GROUP}"), "_round", "_slot", "_inside").select("_row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    out = mix_slots(docs, shares=SHARES)
+    out = mix_slots(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return out.select("doc_id", "source", F.col("_block").alias("block"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"), F.col("_inside").alias("place"))
 
 
 #: The schedule simulated slot by slot, one row for each; in DuckDB's dialect.
 OP4_SQL = f"""
-WITH RECURSIVE counts AS (
-  SELECT coalesce('=' || source, 'null') AS k, count(*) AS n FROM documents GROUP BY 1
-), ideals AS (
-  SELECT k, n, greatest(1.0, {SHARES} * pow(n, {ALPHA}) / sum(pow(n, {ALPHA})) OVER ()) AS ideal FROM counts
+WITH RECURSIVE size AS (
+  SELECT greatest({BLOCK_ROWS}, (count(*) + {BLOCKS - 1}) // {BLOCKS}) AS rows FROM documents
 ), shares AS (
-  SELECT k, (n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS blocks,
-    CAST(floor(ideal) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY floor(ideal) - ideal, k) <= {SHARES} - sum(CAST(floor(ideal) AS BIGINT)) OVER () THEN 1 ELSE 0 END AS q
-  FROM ideals
+  SELECT k, (n + rows - 1) // rows AS blocks, CAST(greatest(1, floor(1000 * pow(n, {ALPHA}) + 0.5)) AS BIGINT) AS q
+  FROM (SELECT coalesce('=' || source, 'null') AS k, count(*) AS n FROM documents GROUP BY 1), size
 ), run(slot, phase, t, k, block, state) AS (
   SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(-1 AS BIGINT),
     (SELECT list({{'k': k, 'q': q, 'blocks': blocks, 'rest': blocks, 'since': CAST(0 AS BIGINT)}} ORDER BY k) FROM shares)
@@ -238,12 +155,12 @@ WITH RECURSIVE counts AS (
     )
   )
 ), ranked AS (
-  SELECT doc_id, source, coalesce('=' || source, 'null') AS k,
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS k, rows,
     row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT, doc_id) - 1 AS r
-  FROM documents
+  FROM documents, size
 )
-SELECT doc_id, source, r // {BLOCK_ROWS} AS block, CAST(phase - CASE WHEN last THEN 1 ELSE 0 END AS INTEGER) AS phase, slot, CAST(r % {BLOCK_ROWS} AS INTEGER) AS place
-FROM ranked JOIN (SELECT k, block, slot, phase, t = 0 AND slot >= 0 AS last FROM run) USING (k) WHERE r // {BLOCK_ROWS} = block
+SELECT doc_id, source, r // rows AS block, CAST(phase - CASE WHEN last THEN 1 ELSE 0 END AS INTEGER) AS phase, slot, CAST(r % rows AS INTEGER) AS place
+FROM ranked JOIN (SELECT k, block, slot, phase, t = 0 AND slot >= 0 AS last FROM run) USING (k) WHERE r // rows = block
 """
 
 QUERIES = {"op4_mixing": op4_mixing}

@@ -7,7 +7,12 @@ the conversation is rendered again with such content escaped; the reparse is
 compared once more, and a difference then fails the job.
 
 The grammar is that of a tokenizer with control tokens: a turn is a start mark,
-a role, a line end, text without control strings, an end mark and a line end.
+a role, a line end, text without control strings, an end mark and a line end;
+nothing stands between or after turns.
+
+The loss mask is a list of character ranges of the rendered text, one for each
+assistant turn: its text as it stands there, without marks, role and line ends.
+``under_mask`` cuts these ranges out and takes escapes away.
 
 Escape: a ``<``, any number of backslashes and a ``|`` gain one backslash, so
 no ``<|`` is left inside content; the parser takes one away. This is a
@@ -22,6 +27,8 @@ conversation is one string, so its turns meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,39 +63,87 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.concat_ws("", F.transform(turns, lambda t: F.concat(F.lit(START), role(t["role"]), F.lit("\n"), text(t["text"]), F.lit(STOP))))
 
 
-def parse(rendered: Column) -> Column:
-    """Turns of a rendered text; null in a role where the grammar does not hold.
+#: Turns whose places are summed in one run; runs are then put one after another.
+RUN = 512
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where it is used for every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def places(lengths: Column) -> Column:
+    """The sum of all lengths before each one; in runs, as an array that grows is copied each time."""
+    zero = F.lit(0).cast("long")
+    total = lambda values: F.aggregate(values, zero, lambda a, x: a + x)
+    sums = lambda values, start: F.aggregate(values, F.array(start), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+    first = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int"))
+    runs = lambda all_: F.transform(first, lambda r: F.slice(all_, r * RUN + 1, F.lit(RUN)))
+    inside = lambda run, start: F.slice(sums(run, start), F.lit(1), F.size(run))
+    whole = let(let(lengths, runs), lambda parts: F.flatten(F.zip_with(parts, F.slice(sums(F.transform(parts, total), zero), F.lit(1), F.size(parts)), inside)))
+    return F.when(F.size(lengths) > 0, whole).otherwise(F.array().cast("array<long>"))
+
+
+def pieces_of(rendered: Column) -> Column:
+    """What stands before each end mark with its line end, and what is left after the last; and where each begins."""
+    pieces = F.split(rendered, r"<\|im_end\|>\n", -1)
+    starts = lambda p: places(F.transform(p, lambda x: F.length(x).cast("long") + len(STOP)))
+    return let(pieces, lambda p: F.zip_with(p, starts(p), lambda x, at: F.struct(x.alias("piece"), at.alias("at"))))
+
 
-    End marks part the text. Each part must begin with a start mark, hold no
-    other one and hold a line end; nothing may follow the last end mark.
+def parse(pieces: Column) -> Column:
+    """Turns of a rendered text's pieces; null in a role where the grammar does not hold.
+
+    Each piece must begin with a start mark, hold no other mark and hold a line
+    end; nothing may follow the last one.
     """
-    pieces = F.split(rendered, r"<\|im_end\|>\n?", -1)
-    last = F.element_at(pieces, -1)
-    body = F.when(last == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
 
-    def turn(piece: Column) -> Column:
-        cut = F.locate("\n", piece)
-        good = piece.startswith(START) & (cut > 0) & (F.locate(START, piece, 2) == 0)
+    def turn(x: Column) -> Column:
+        piece, cut = x["piece"], F.locate("\n", x["piece"])
+        good = piece.startswith(START) & (cut > 0) & (F.locate(START, piece, 2) == 0) & (F.locate(END, piece) == 0)
         role = F.when(good, unescape_role(F.substring(piece, F.lit(len(START) + 1), cut - len(START) - 1)))
-        return F.struct(role.alias("role"), unescape_text(F.substring(piece, cut + 1, F.length(piece))).alias("text"))
+        return F.struct(
+            role.alias("role"), unescape_text(F.substring(piece, cut + 1, F.length(piece))).alias("text"),
+            (x["at"] + cut).alias("start"), (x["at"] + F.length(piece)).alias("end"),
+        )
+
+    def whole(p: Column) -> Column:
+        turns, rest = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), turn), F.element_at(p, -1)
+        loose = F.struct(F.lit(None).cast("string").alias("role"), rest["piece"].alias("text"), rest["at"].alias("start"), rest["at"].alias("end"))
+        return F.when(rest["piece"] == "", turns).otherwise(F.concat(turns, F.array(loose)))
+
+    return let(pieces, whole)
+
+
+def loss_mask(turns: Column, role: str = "assistant") -> Column:
+    """The ranges (turn, start, end) of parsed turns that the loss is taken over: characters from 0, end exclusive."""
+    numbered = F.transform(turns, lambda t, k: F.struct(k.alias("turn"), t["start"].alias("start"), t["end"].alias("end"), (t["role"] == role).alias("own")))
+    return F.transform(F.filter(numbered, lambda m: m["own"]), lambda m: F.struct(m["turn"], m["start"], m["end"]))
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The text under the mask, without escapes: each range is cut out of the piece it lies in, so a long text is walked once."""
+
+    def cut(piece: Column, m: Column) -> Column:
+        return unescape_text(F.substring(piece["piece"], (m["start"] - piece["at"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))
 
-    return F.transform(body, turn)
+    return let(pieces_of(formatted), lambda pieces: F.transform(mask, lambda m: cut(F.get(pieces, m["turn"]), m)))
 
 
 def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each conversation: its rendered text, whether it was escaped, and the turns read back."""
+    """One row for each conversation: its rendered text, whether it was escaped, the turns read back and the loss mask."""
     rows = chats.select(
         chats[id_col].alias("conv_id"), chats[turn_col].alias("turn"),
         F.coalesce(chats[role_col], F.lit("")).alias("role"), F.coalesce(chats[text_col], F.lit("")).alias("text"),
     )
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    first = whole.select("conv_id", source.alias("source")).withColumn("plain", render(F.col("source"), False))
-    same = F.coalesce(parse(F.col("plain")).eqNullSafe(F.col("source")), F.lit(False))
+    plainly = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    first = whole.select("conv_id", plainly("turns").alias("source")).withColumn("plain", render(F.col("source"), False))
+    same = F.coalesce(plainly(parse(pieces_of(F.col("plain")))).eqNullSafe(F.col("source")), F.lit(False))
     chosen = first.withColumn("escaped", ~same).withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), True)).otherwise(F.col("plain"))).drop("plain")
-    back = chosen.withColumn("recovered", parse(F.col("formatted")))
+    back = chosen.withColumn("parsed", parse(pieces_of(F.col("formatted")))).withColumn("recovered", plainly("parsed"))
     sure = F.when(F.col("recovered").eqNullSafe(F.col("source")), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back")).cast("string"))
-    return back.select("conv_id", sure.alias("formatted"), "escaped", "recovered")
+    return back.select("conv_id", sure.alias("formatted"), "escaped", "recovered", loss_mask(F.col("parsed")).alias("loss_mask"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +151,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(HOSTILE).alias("text"))
     done = format_chats(chats.unionByName(extra))
     lines = F.concat_ws("", F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(F.filter("recovered", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
     return (
-        done.withColumn("_loss", loss)
+        done.withColumn("_loss", F.concat_ws("", under_mask(F.col("formatted"), F.col("loss_mask"))))
         .select(
             "conv_id", F.size("recovered").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
             F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),

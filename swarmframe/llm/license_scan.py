@@ -61,6 +61,16 @@ NOTICES = (
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("unlicense", "free and unencumbered software released into the public domain", 4),
     Notice("isc", "permission to use copy modify and or distribute this software", 4),
+    Notice("mit", "the software is provided as is without warranty of any kind", 4),
+    Notice("apache-2", "licensed under the apache license version", 3, "2"),
+    Notice("epl", "eclipse public license", 2),
+    Notice("cddl", "common development and distribution license", 3),
+    Notice("eupl", "european union public licence", 2),
+    Notice("boost", "boost software license version", 2, "1"),
+    Notice("zlib", "altered source versions must be plainly marked as such", 4),
+    Notice("artistic", "the artistic license", 1, "2"),
+    Notice("odbl", "open database license", 2),
+    Notice("ofl", "sil open font license", 2),
 )
 
 
@@ -105,15 +115,13 @@ class Scanner:
             return 0, [], []
         joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
         windows: dict[int, list[list[int]]] = {}
-        exact: list[tuple[str, int, int]] = []
+        exact: list[tuple[int, int, int]] = []
         for end, (length, who) in self.seeds.iter(joined):
             start = end + 1 - length
             for k, offset in who:
                 if k >= len(self.notices):  # the exact check of a base phrase
                     if joined[start - 1] == " " and joined[end + 1] == " ":
-                        at = joined.count(" ", 1, start)
-                        phrase, label = self.base[k - len(self.notices)]
-                        exact.append((label, at, at + phrase.count(" ")))
+                        exact.append((k - len(self.notices), start, end))
                     continue
                 slack = self.notices[k].errors + 1
                 low, high = max(0, start - offset - slack), min(len(joined), start - offset + self.lengths[k] + slack)
@@ -128,7 +136,12 @@ class Scanner:
             for low, high in spans:
                 for m in self.patterns[k].finditer(joined, low, high):
                     matches.append((label, m.start() - 1, m.end() - 1, sum(m.fuzzy_counts)))
-        return len(words), sorted(matches, key=lambda m: (m[1], m[0])), sorted(exact, key=lambda m: m[1])
+        places, at, seen = [], 0, 1  # one walk counts the words before each place
+        for k, start, _ in sorted(exact, key=lambda x: x[1]):
+            at, seen = at + joined.count(" ", seen, start), start
+            phrase, label = self.base[k]
+            places.append((label, at, at + phrase.count(" ")))
+        return len(words), sorted(matches, key=lambda m: (m[1], m[0])), places
 
 
 SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.LongType())])
@@ -165,7 +178,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_license_scan": op1_license_scan}

@@ -5,7 +5,8 @@ Rows of a source are ranked in a seeded shuffle; a row's fractional rank is
 equal length, so each shard holds the mixture of the whole. No task sorts a
 whole source: rows go to buckets by hash, and fractions by even ranges.
 
-Law: ``rows``, counts of shards differ by one at most.
+Law: ``rows``, counts of shards differ by one at most. Equal texts are not kept
+together: each row goes where its rank puts it.
 
 Defined results: a null text has size 1 and checksum 0; a null source is a
 source of its own; repeated rows are each dealt (their order among themselves
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import group_key, md5_order, rank_within, table
+from .common import group_key, md5_order, rank_within, running_offsets, table
 
 SHARDS, SEED = 16, 11
 #: Rows of one range of fractional ranks; a range is sorted by one task.
@@ -40,8 +41,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     fraction = (2 * F.col("rank") + 1) / (2 * F.col("group_rows"))
     ranges = max(1, math.ceil(total / RANGE_ROWS))  # fractions are even, so ranges hold nearly equal numbers of rows
     spread = ranked.withColumn("_fraction", fraction).withColumn("_range", F.floor(F.col("_fraction") * ranges).cast("long"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spread.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = spread.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = running_offsets(sizes, [], "_range", (ranges - 1).bit_length())
     inside = Window.partitionBy("_range").orderBy("_fraction", "_source", "rank")
     at = spread.join(offsets, "_range").withColumn("_at", F.row_number().over(inside).cast("long") - 1 + F.col("_before"))
     shard = F.expr(f"_at * {shards} div {max(1, total)}")

@@ -44,12 +44,24 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def check_vocabulary(spec: dict, path: str) -> None:
+    """Refuses a file whose steps around the merges are not those built here, rather than count wrong."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte_level = split.get("type") == "ByteLevel" and split.get("add_prefix_space") is False and split.get("use_regex", True) is True
+    marks = not any(x.get(flag) for x in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+    steps = not any(spec.get(x) for x in ("normalizer", "truncation", "padding"))
+    if not (plain and byte_level and marks and steps) or len(model["vocab"]) >= 1 << 17:
+        raise ValueError(f"{path}: only byte-level BPE with the plain split, no normalizer and plain added tokens is counted here")
+
+
 class Merger:
     """Merges pre-tokens under one byte-level vocabulary file; keeps the counts it has found."""
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_vocabulary(spec, path)
         vocabulary = spec["model"]["vocab"]
         self.symbols = [vocabulary[s] for _, s in sorted(byte_symbols().items())]
         #: (left id << 17 | right id) to (rank << 17 | merged id): both fit, as ids are below 2**17.

@@ -187,17 +187,16 @@ def test_star_components(spark):
 
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 1}, {"a": 0.001, "b": 1000, "c": 1, "d": 333}, {f"s{k}": k + 1 for k in range(40)}])
 def test_pfair_windows_and_deviation(weights):
-    shares = MX.whole_shares(weights, 512)
-    assert sum(shares.values()) == 512 and min(shares.values()) >= 1
-    order, n = MX.period(shares), 512
-    done = Counter()
-    for t, s in enumerate(order):
-        i, q = done[s], shares[s]
-        assert i * n // q <= t < -(-(i + 1) * n // q)  # released, and not late
-        done[s] += 1
-        for x, q in shares.items():
-            assert abs(done[x] * n - (t + 1) * q) < n  # less than one block from its share
-    assert done == Counter(shares)
+    from fractions import Fraction
+
+    names, sources, phases = MX.exact_schedule(dict.fromkeys(weights, 400), weights)
+    total, done = sum(map(Fraction, weights.values())), Counter()
+    share = [Fraction(weights[s]) / total for s in names]
+    for t, k in enumerate(sources[: phases.count(0)]):
+        assert done[k] // share[k] <= t < -(-(done[k] + 1) // share[k])  # released, and not late
+        done[k] += 1
+        assert all(abs(done[x] - (t + 1) * q) < 1 for x, q in enumerate(share))
+    assert Counter(sources) == Counter(dict.fromkeys(range(len(names)), 400))
 
 
 def plain_mix(blocks, shares):
@@ -229,12 +228,12 @@ def test_slots_equal_a_simulation(spark):
     rows = [(k, s, "clash") for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     draw.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, source string, _x string")
-    for weights in ({"a": 3, "b": 2, "c": 4, None: 1}, None):
-        got = MX.mix_slots(docs, weights, block_rows=4, shares=64).collect()
+    for weights in ({"a": 3, "b": 2, "c": 4, "d": 1, None: 1}, None):
+        got = MX.mix_slots(docs, weights, block_rows=4).collect()
         assert len(got) == sum(sizes.values())
         blocks = {("null" if s is None else f"={s}"): -(-n // 4) for s, n in sizes.items()}
-        given = {("null" if s is None else f"={s}"): (weights.get(s, 0) if weights else n**MX.ALPHA) for s, n in sizes.items()}
-        want = plain_mix(blocks, MX.whole_shares(given, 64))
+        given = {("null" if s is None else f"={s}"): (weights.get(s, 0) if weights else MX.default_weight(n)) for s, n in sizes.items()}
+        want = plain_mix(blocks, given)
         seen = {("null" if r.source is None else f"={r.source}", r._block): r._slot for r in got}
         assert seen == want
         assert len({(r._slot, r._inside) for r in got}) == len(got)
@@ -264,6 +263,17 @@ def test_deviation_from_unrounded_weights(spark):
     assert all(r._slot >= 2000 for r in MX.mix_slots(docs, {"a": 1, "b": 1}, block_rows=1).collect() if r.source == "c")
 
 
+def test_long_blocks_are_dealt_in_rounds(spark):
+    """With fewer blocks than rows ask for, blocks grow, and short stretches of the order keep the mixture."""
+    docs = spark.createDataFrame([(k, "ab"[k % 4 == 0]) for k in range(40_000)], "doc_id long, source string")
+    rows = MX.mix_slots(docs, {"a": 3, "b": 1}, blocks_most=200).collect()
+    assert len({r._slot for r in rows}) == 200 and Counter(r._slot for r in rows).most_common(1)[0][1] == 200
+    order = [r.source for r in MX.mix_order(docs, {"a": 3, "b": 1}, blocks_most=200).collect()]
+    assert len(order) == 40_000 and Counter(order) == {"a": 30_000, "b": 10_000}
+    for k in range(0, 36_000, 1024):
+        assert abs(order[k : k + 1024].count("b") - 256) <= 32
+
+
 def test_mixing_edges(spark, odd):
     assert Counter(r.doc_id for r in MX.mix_order(odd).collect()) == Counter(d for d, *_ in ODD)
     assert MX.mix_order(odd.limit(0)).count() == 0
@@ -271,7 +281,8 @@ def test_mixing_edges(spark, odd):
 
 
 def test_clashing_names_in_ranks(spark):
-    rows = spark.range(50).selectExpr("id AS doc_id", "'s' AS source", "id AS rank", "id AS group_rows")
+    rows = spark.range(50).selectExpr("id AS doc_id", "'s' AS source", "id AS rank", "id AS group_rows", "id AS _slot", "id AS _inside")
+    assert MX.mix_slots(rows).columns.count("_slot") == 1 and MX.mix_slots(rows).where("_slot < 4").count() == 50
     assert {r.doc_id: r.rank for r in MX.mix_order(rows).collect()} == {k: k for k in range(50)}
 
 
@@ -338,8 +349,10 @@ def test_threshold_algorithm_is_exact(spread):
         lists = TK.Lists(ids, rows.astype(kind))
         for at in range(0, n, max(1, n // 12)):
             for query in (rows[at], -rows[at], np.zeros(d, int), np.eye(d, dtype=int)[0] * 3):
-                best, scores = lists.top(int(ids[at]), query.astype(kind), 20)
-                assert list(zip(lists.ids[best].tolist(), scores.astype(int).tolist(), strict=True)) == plain_top(ids, rows, ids[at], query, 20)
+                want = plain_top(ids, rows, ids[at], query, 20)
+                for floor in (-np.inf, want[-1][1] if len(want) == 20 else -np.inf):
+                    best, scores, scored = lists.top(int(ids[at]), query.astype(kind), 20, floor)
+                    assert list(zip(lists.ids[best].tolist(), scores.astype(int).tolist(), strict=True)) == want and scored <= n
 
 
 def test_the_bound_stops_the_walk():
@@ -347,18 +360,21 @@ def test_the_bound_stops_the_walk():
     rows = np.zeros((50_000, 4))
     rows[:, 0] = rng.integers(0, 1_000_000, 50_000)
     lists = TK.Lists(np.arange(50_000), rows)
-    reads = []
-    seen = lists.rows
+    best, _, scored = lists.top(-1, np.array([1.0, 0, 0, 0]), 20)
+    assert len(best) == 20 and scored < 100
+    even = TK.Lists(np.arange(5000), rng.integers(-30, 30, (5000, 16)).astype(float))  # on even dimensions it walks the lists until every row is met
+    assert even.top(-1, even.rows[7], 20)[2] > 4000
 
-    class Counted(np.ndarray):
-        def __getitem__(self, key):
-            if isinstance(key, np.ndarray):
-                reads.append(len(key))
-            return super().__getitem__(key)
 
-    lists.rows = seen.view(Counted)
-    best, _ = lists.top(-1, np.array([1.0, 0, 0, 0]), 20)
-    assert len(best) == 20 and sum(reads) < 2000
+def test_walks_of_whole_queries(spark):
+    """The rows that were scored, by query and block; a floor from the seeds leaves fewer of them and the same result."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(a), float(b)]) for k, (a, b) in enumerate(zip(rng.pareto(1, 9000), rng.random(9000) / 64, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 450 = 0")
+    walked = [sum(r.scored for r in TK.top_inner_products(asked, df, seeds=n, candidate_rows=1000, figures=True).collect()) for n in (0, 4096)]
+    assert walked[1] <= walked[0] < 20 * 9000 / 2
+    assert sorted(map(tuple, TK.top_inner_products(asked, df, seeds=0).collect())) == sorted(map(tuple, TK.top_inner_products(asked, df, candidate_rows=1000).collect()))
 
 
 def test_topk_edges(spark):
@@ -366,6 +382,8 @@ def test_topk_edges(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("id", F.lit("y"))
     got = TK.top_inner_products(df.where("vec_id % 20 = 0"), df, query_rows=1, candidate_rows=2).collect()
     assert sorted(map(tuple, got)) == [(0, 1, 7, 5120), (0, 2, 7, 5120), (0, 3, 40, 6144)][:0] + sorted([(0, 1, 40, 6144), (0, 2, 7, 5120), (0, 3, 7, 5120), (0, 4, 6, 1024), (40, 1, 0, 6144), (40, 2, 7, 6144), (40, 3, 7, 6144), (40, 4, 6, -2048)])
+    twice = spark.createDataFrame([(20, [1.0]), (20, [-1.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[2:] for r in TK.top_inner_products(twice.where("vec_id = 20"), twice, k=3).orderBy("rank").collect()] == [(2, 12288), (1, 8192), (1, -8192)]
     assert TK.top_inner_products(df.limit(0), df).count() == 0 and TK.top_inner_products(df, df.limit(0)).count() == 0
 
 
@@ -463,6 +481,32 @@ def expected(rows):
     return [(r[2] or "", r[3] or "") for r in turns]
 
 
+def check_mask(row):
+    """The ranges lie on the output: after a role's line, before an end mark, and hold each assistant text once, in order."""
+    texts = []
+    for _, start, end in row.loss_mask:
+        assert row.formatted[:start].endswith(f"{CF.START}assistant\n") and row.formatted[end:].startswith(CF.STOP)
+        texts.append(re.sub(r"<(\\*)\\\|", r"<\1|", row.formatted[start:end]))
+    assert texts == [t.text for t in row.recovered if t.role == "assistant"]
+
+
+def test_masks_of_long_chats(spark):
+    """More turns than one run of places."""
+    turns = [(1, k, "user" if k % 3 else "assistant", f"é<|{k}" * (k % 5)) for k in range(1300)]
+    row = CF.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    cut = row.select("*", CF.under_mask(F.col("formatted"), F.col("loss_mask")).alias("cut")).first()
+    check_mask(cut)
+    assert cut.cut == [t for _, k, _, t in turns if k % 3 == 0]
+
+
+def test_the_grammar_is_strict(spark):
+    read = lambda text: [(t.role, t.text) for t in spark.createDataFrame([(text,)], "x string").select(CF.parse(CF.pieces_of(F.col("x"))).alias("t")).first().t]
+    good = "<|im_start|>user\nhi<|im_end|>\n"
+    assert read(good) == [("user", "hi")] and read(good * 2) == [("user", "hi")] * 2 and read("") == []
+    for bad in (good + "x", good[:-1], "x" + good, good[:-1] + good, "<|im_start|>user hi<|im_end|>\n", good + "\n"):
+        assert None in [role for role, _ in read(bad)]
+
+
 def test_hard_chats_read_back(spark):
     chats = spark.createDataFrame(HARD, CHATS)
     by = defaultdict(list)
@@ -473,6 +517,7 @@ def test_hard_chats_read_back(spark):
     for r in rows:
         assert [(t.role, t.text) for t in r.recovered] == expected(by[r.conv_id])
         assert r.formatted.count(CF.START) == r.formatted.count(CF.END) == len(by[r.conv_id])
+        check_mask(r)
     assert {r.conv_id for r in rows if not r.escaped} == {2, None, 5, 6}
     assert CF.format_chats(chats.limit(0)).count() == 0
 

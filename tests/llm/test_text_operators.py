@@ -112,6 +112,11 @@ def test_license_edges(odd):
     assert LS.scan_licenses(odd.limit(0)).count() == 0
     long = "word " * 200_000 + "under the mit license"
     assert LS.Scanner().scan(long)[2] == [("mit", 200_000, 200_003)]
+    import time
+
+    began = time.perf_counter()
+    places = LS.Scanner().scan("under the mit license " * 60_000)[2]
+    assert len(places) == 60_000 and places[-1] == ("mit", 239_996, 239_999) and time.perf_counter() - began < 30  # linear in the text
 
 
 # ---- language ---------------------------------------------------------------------
@@ -188,6 +193,19 @@ def test_classes_of_characters_agree(byte_library):
     assert [counter.count(t) for t in texts] == [len(e.ids) for e in byte_library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(TC.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    with pytest.raises(ValueError):
+        TC.PairCounter(PK.default_vocabulary())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        (tmp_path / "x.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            TC.PairCounter(str(tmp_path / "x.json"))
+
+
 def test_a_full_table_changes_nothing():
     small, large = (TC.PairCounter(TC.default_vocabulary(), n) for n in (3, 100_000))
     texts = noise(500, seed=3)

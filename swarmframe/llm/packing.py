@@ -1,8 +1,8 @@
 """Packing by cutting-stock column generation.
 
 Texts are tokenized whole and cut at the sequence length; what is left over of
-each is an item. Items are counted in a histogram of lengths, in units of
-``UNIT`` tokens rounded up. A linear program over patterns (how many items of
+each is an item. Items are counted in a histogram of lengths, rounded up to units
+of ``UNIT`` tokens, or finer ones where pieces are short. A linear program over patterns (how many items of
 each length fill a sequence) is solved on the histogram alone: a knapsack
 dynamic program prices new patterns on the duals until none is worth more than
 a sequence. Whole parts of the solution are used as they are, what is left is
@@ -21,17 +21,17 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 import os
 import re
 import sys
+import warnings
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,11 +42,15 @@ from .token_counts import byte_symbols
 FOUR_BYTES = "I"
 assert array(FOUR_BYTES).itemsize == 4 and sys.byteorder == "little"
 
-LENGTH, UNIT, END_ID = 2048, 8, 1
+LENGTH, UNIT, END_ID = 2048, 8, 1  # the length is a whole number of units
+#: The coarsest step to which lengths are rounded up: fewer lengths make a smaller program.
+STEP = 16
 #: Spans of sequences in which the order of the rows is followed.
 SPANS = 64
 #: The linear program stops within this share of its optimum.
 GAP = 1e-3
+#: Pivots for each size after which the program gives up.
+PIVOTS = 60
 #: Entries of a worker's table of tokenized words before it is emptied.
 WORD_ENTRIES = 400_000
 #: Letters whose lower case is one letter and needs no composing, then marks that form one piece.
@@ -147,13 +151,13 @@ class Tokens:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "units")])
+PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
 ORDERED = T.StructType([*PIECES, T.StructField("_order", T.LongType())])
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document (id, text, and _order if there is one): full sequences, then what is left."""
     schema = ORDERED if "_order" in docs.columns else PIECES
     out = arrow_schema(schema)
@@ -168,7 +172,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LEN
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     size = min(length, n - start)
-                    for column, v in zip(rows, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, -(-size // unit), *order), strict=True):
+                    for column, v in zip(rows, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, *order), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=out)
 
@@ -192,25 +196,45 @@ def with_order(docs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(files), "_file").withColumn("_order", (F.col("_before") + F.col("_at")) * F.lit((1 << 60) // max(1, total))).drop("_file", "_at", "_before")
 
 
+def unit_for(histogram: dict[int, int], most: int = UNIT) -> int:
+    """Tokens in which a table's pieces are counted: a 40th of their mean length or less, from 1 to ``most``."""
+    mean = sum(n * k for n, k in histogram.items()) / max(1, sum(histogram.values()))
+    return max(1, min(most, 1 << max(0, int(mean / 40).bit_length() - 1)))
+
+
+def step_for(length: int, unit: int) -> int:
+    """The step to which a length is rounded up: the unit, or for longer pieces a 32nd of themselves, up to ``STEP`` tokens."""
+    return max(unit, min(STEP, 1 << max(0, (length - 1).bit_length() - 6)))
+
+
+def units_of(length: Column, unit: int, most: int) -> Column:
+    """The length of a piece in units, rounded up."""
+    step = F.lit(step_for(most, unit))
+    for bits in range((most - 1).bit_length() - 1, 5, -1):
+        step = F.when(length <= 1 << bits, step_for(1 << bits, unit)).otherwise(step)
+    return (F.ceil(length / step) * step / unit).cast("long")
+
+
 def best_pattern(worth: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Knapsack: the most worth of items (any number of each) within ``room``."""
-    best, took = np.zeros(room + 1), np.full(room + 1, -1)
+    own = np.full(room + 1, -np.inf)
+    own[sizes] = worth
+    own, number = own[1:], {int(s): k for k, s in enumerate(sizes)}
+    took = [0] * (room + 1)
+    back = np.zeros(room + 1)  # back[room - c] is the most worth within c
+    best = 0.0
     for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        fit = np.flatnonzero(sizes <= c)
-        if len(fit):
-            value = worth[fit] + best[c - sizes[fit]]
-            k = int(value.argmax())
-            if value[k] > best[c] + 1e-12:
-                best[c], took[c] = value[k], fit[k]
+        value = own[:c] + back[room - c + 1 :]
+        k = int(value.argmax())
+        if value[k] > best + 1e-12:
+            best, took[c] = float(value[k]), k + 1
+        back[room - c] = best
     pattern, c = np.zeros(len(sizes)), room
     while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= int(sizes[took[c]])
-    return float(best[room]), pattern
+        if took[c]:
+            pattern[number[took[c]]] += 1
+        c -= took[c] or 1
+    return best, pattern
 
 
 def inverse_of(basis: np.ndarray) -> np.ndarray:
@@ -227,33 +251,44 @@ def inverse_of(basis: np.ndarray) -> np.ndarray:
     return work[:, m:]
 
 
-def solve_patterns(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used: the basis of the linear program's optimum.
 
-    Revised simplex with column generation: least sequences for exactly ``counts``.
+    Revised simplex with column generation: least sequences for exactly
+    ``counts``. Any duals give a lower bound (and so does the room that all items
+    take); the program ends within ``GAP`` of the best one, or after ``PIVOTS``
+    pivots for each size, which a warning tells: its basis is then a packing as
+    well, only not the best.
     """
     m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis)) if m else basis
-    use = (inverse * counts).sum(1)
-    for k in range(rounds if m else 0):
-        worth, pattern = best_pattern(inverse.sum(0), sizes, room)
-        if worth <= 1 + GAP:
+    use, worth, pivots = (inverse * counts).sum(1), inverse.sum(0), 0
+    bound = float(sizes @ counts) / room
+    while m and use.sum() > bound * (1 + GAP):
+        if pivots >= PIVOTS * m:
+            warnings.warn(f"the packing program stopped {use.sum() / bound - 1:.4f} above its bound", stacklevel=2)
             break
+        most, pattern = best_pattern(worth, sizes, room)
+        bound = max(bound, float(worth @ counts) / max(1.0, most))
         direction = (inverse * pattern).sum(1)
         rising = direction > 1e-9
-        if not rising.any():
+        if most <= 1 + 1e-7 or not rising.any():
             break
         ratio = np.where(rising, use / np.where(rising, direction, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = pattern
-        if k % 256 == 255:
+        pivots += 1
+        if pivots % 256 == 0:
             inverse = inverse_of(basis)
-        else:
-            row = inverse[out] / direction[out]
-            inverse = inverse - direction[:, None] * row[None, :]
-            inverse[out] = row
-        use = np.maximum((inverse * counts).sum(1), 0)
+            use, worth = np.maximum((inverse * counts).sum(1), 0), inverse.sum(0)
+            continue
+        row, times = inverse[out] / direction[out], float(ratio[out])
+        inverse -= direction[:, None] * row[None, :]
+        inverse[out] = row
+        worth = worth - (most - 1) * row
+        use = np.maximum(use - times * direction, 0)
+        use[out] = times
     return basis, use
 
 
@@ -304,9 +339,16 @@ def pack_sequences(docs: DataFrame, vocabulary: str | None = None, length: int =
     scratch = Scratch(docs.sparkSession, "packing")
     slim = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     slim = with_order(docs).select(*slim, "_order") if in_order else docs.select(*slim)
-    pieces = scratch.save(cut_pieces(slim, vocabulary, length, unit), "pieces")
-    histogram = {r["units"]: r["count"] for r in pieces.groupBy("units").count().collect()}  # a row for each length: at most length / unit
-    rows = np.array(draw_plan(histogram, math.ceil(length / unit), SPANS if in_order else 1), np.int64).reshape(-1, 6)
+    pieces = scratch.save(cut_pieces(slim, vocabulary, length), "pieces")
+    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length
+    unit = unit_for(lengths, unit)
+    histogram: dict[int, int] = {}
+    for n, k in lengths.items():
+        step = step_for(n, unit)
+        size = -(-n // step) * step // unit
+        histogram[size] = histogram.get(size, 0) + k
+    rows = np.array(draw_plan(histogram, length // unit, SPANS if in_order else 1), np.int64).reshape(-1, 6)
+    pieces = pieces.withColumn("units", units_of(F.col("length"), unit, length))
     order = F.col("_order") if in_order else F.shiftrightunsigned(F.xxhash64("doc_id", "start"), 4)
     ranked = rank_within(pieces.withColumn("_order", order), "units", "_order", ["doc_id", "start", "ids_crc32"], histogram).drop("_order", "group_rows")
     schema = T.StructType([f for f in ranked.schema.fields if f.name not in ("rank", "units")] + [T.StructField("sequence_id", T.LongType()), T.StructField("_place", T.LongType())])

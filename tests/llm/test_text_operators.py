@@ -267,6 +267,20 @@ def test_packing_whole_table(spark, data, word_library):
     assert check_packing(PK.op6_packing(spark, data).collect(), texts, word_library) < 0.05
 
 
+def test_short_texts_leave_little_padding(spark, word_library):
+    draw = random.Random(8)
+    texts = {k: " ".join(draw.choice(["some", "words", "of", "text"]) for _ in range(draw.randint(0, 30))) for k in range(4000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert check_packing(PK.pack_sequences(docs).collect(), texts, word_library) < 0.04
+
+
+def test_lengths_are_rounded_alike(spark):
+    for unit in (1, 2, 4, 8):
+        got = spark.range(1, 2049).select(PK.units_of(F.col("id"), unit, 2048).alias("u")).collect()
+        want = [-(-n // PK.step_for(n, unit)) * PK.step_for(n, unit) // unit for n in range(1, 2049)]
+        assert [r.u for r in got] == want and max(want) * unit == 2048
+
+
 def test_packing_edges(spark, odd, word_library):
     rows = PK.pack_sequences(odd).collect()
     assert Counter((r.doc_id, r.start) for r in rows)[(4, 0)] == 2 and sum(r.doc_id is None for r in rows) == 1

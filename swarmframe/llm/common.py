@@ -56,13 +56,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
+        self.names.append(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_others(self, *kept: str) -> None:
+        for name in [n for n in self.names if n not in kept]:
+            self.drop(name)
+
     def __enter__(self) -> Scratch:
         return self
 
@@ -70,6 +76,7 @@ class Scratch:
         self.drop()
 
     def drop(self, name: str = "") -> None:
+        self.names = [n for n in self.names if name and n != name]
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
@@ -115,8 +122,11 @@ def append_columns(df: DataFrame, fields: list[T.StructField], text_col: str, ma
     """All columns of ``df`` and new ones computed from one text column, in one Arrow pass.
 
     ``make()`` runs once in each task and returns a function from a list of texts
-    (None where null) to one list for each field.
+    (None where null) to one list for each field. Columns of ``df`` named as a
+    new one give way to it.
     """
+    made = {f.name.lower() for f in fields} - {text_col.lower()}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in made])
     schema = T.StructType([*df.schema.fields, *fields])
     at = df.columns.index(text_col)
     types = [arrow_schema(T.StructType([f])).field(0).type for f in fields]

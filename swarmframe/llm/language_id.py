@@ -8,8 +8,12 @@ language against the rest, is solved on it. As the kernel is linear in the
 presence vector but for a row's norm, landmarks, map and regression fold into
 one matrix, and a batch is scored by one product of presence rows with it.
 
-Only the model is fitted on a bounded sample (``per_language`` rows of each
-language, all taken by a hash of the id); every text is scored, whole.
+Only the model is fitted on a bounded sample: ``PER_LANGUAGE`` rows of each
+language, taken by a hash of the id; with many languages fewer of each, down to
+one, so that ``LABELLED`` rows and ``CENTRES`` landmarks are not exceeded by more
+than one for each language. Every language there is can be learned. What leaves
+the executors for the fit are presence rows of at most 8 KB, not texts. Every
+text is scored, whole.
 
 Defined results: a null text, or one without a letter, gives ``und`` and score
 0; ties go to the language first in order; if no row can be learned from, all
@@ -18,11 +22,10 @@ are ``und``. Repeated rows and extra columns have no effect on each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +35,10 @@ from .common import append_columns, table
 UNKNOWN = "und"
 #: n-grams are kept by a hash of so many bits.
 GRAM_BITS = 16
-#: Documented bounds of the fit: rows of each language, landmarks of each language, languages.
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 300, 64, 256
+#: Documented bounds of the fit: rows and landmarks of each language, and of all languages.
+PER_LANGUAGE, LANDMARKS, LABELLED, CENTRES = 300, 64, 20_000, 1024
+#: A document of the pipeline stays if its best language leads by so much or more.
+LEAST_MARGIN = 0.0
 RIDGE = 1e-3
 BATCH = 64
 
@@ -118,10 +123,19 @@ def fit_language_model(texts: list[str], langs: list[str], landmarks: int = LAND
         if grams.mark(text, row):
             rows.append(np.flatnonzero(row))
             names.append(lang)
+    return fit_rows(rows, names, landmarks, ridge)
+
+
+def fit_rows(rows: list[np.ndarray], names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """The model of rows given by the n-grams they hold."""
     languages = sorted(set(names))
     if not languages:
         return LanguageModel([], np.zeros((1 << GRAM_BITS, 0), np.float32))
-    chosen = [i for lang in languages for i in [k for k, x in enumerate(names) if x == lang][:landmarks]]
+    places: dict[str, list[int]] = {lang: [] for lang in languages}
+    for k, lang in enumerate(names):
+        places[lang].append(k)
+    landmarks = max(1, min(landmarks, CENTRES // len(languages)))
+    chosen = [i for lang in languages for i in places[lang][:landmarks]]
     marks = np.zeros((len(chosen), 1 << GRAM_BITS), np.float32)
     for k, i in enumerate(chosen):
         marks[k, rows[i]] = 1 / np.sqrt(len(rows[i]))
@@ -152,31 +166,47 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.xxhash64(docs[id_col], F.lit(7)).alias("h"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
-        return fit_language_model([], [])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * per_language / r["count"]))])
-    part = rows.where((F.shiftrightunsigned("h", 1) / F.lit(2.0**63)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    taken: dict[str, list] = {}
-    for r in sorted(part.select("h", "id", "lang", "text").collect(), key=lambda r: (r["h"], r["id"], r["text"])):
+        return fit_rows([], [])
+    per_language = max(1, min(per_language, LABELLED // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.2 * per_language + 8) / r["count"])) for r in counts], "lang string, share double")
+    part = rows.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned("h", 1) / F.lit(2.0**63) < F.col("share"))  # a row for each language
+
+    def marks() -> Callable:
+        grams = Grams()
+
+        def mark(texts: list[str | None]) -> list[list]:
+            out = []
+            for text in texts:
+                row = np.zeros(1 << GRAM_BITS, np.uint8)
+                known = grams.mark(text, row)
+                out.append(np.packbits(row).tobytes() if known else None)
+            return [out]
+
+        return mark
+
+    found = append_columns(part.select("h", "lang", "text"), [T.StructField("bits", T.BinaryType())], "text", marks).select("h", "lang", "bits").where("bits IS NOT NULL")
+    taken: dict[str, list[bytes]] = {}
+    for r in sorted(found.collect(), key=lambda r: (r["h"], bytes(r["bits"]))):
         if len(own := taken.setdefault(r["lang"], [])) < per_language:
-            own.append(r["text"])
-    pairs = [(t, lang) for lang in sorted(taken) for t in taken[lang]]
-    return fit_language_model([t for t, _ in pairs], [lang for _, lang in pairs], landmarks)
+            own.append(bytes(r["bits"]))
+    pairs = [(np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))), lang) for lang in sorted(taken) for b in taken[lang]]
+    return fit_rows([x for x, _ in pairs], [lang for _, lang in pairs], landmarks)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, then ``lang_pred`` and ``lang_score``."""
-    handle = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))  # n-grams x languages floats: bounded by GRAM_BITS and LANGUAGES
+    handle = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))  # n-grams x languages floats: 256 KB for each language
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
     return append_columns(docs, fields, text_col, lambda: LanguageModel(*handle.value).scorer())
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, languages: frozenset[str] | None = None) -> DataFrame:
-    """The documents whose language is known (and among ``languages``, if given), as they were."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+def keep_identified(docs: DataFrame, model: LanguageModel, languages: frozenset[str] | None = None, least_margin: float = LEAST_MARGIN, text_col: str = "text") -> DataFrame:
+    """The documents whose language is known by ``least_margin`` or more (and among ``languages``, if given), as they were."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scored = identify_languages(rows, model)
-    good = F.col("lang_pred") != UNKNOWN
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least_margin)
     return scored.where(good & F.col("lang_pred").isin(*languages) if languages else good).select("row.*")
 
 

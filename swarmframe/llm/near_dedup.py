@@ -26,8 +26,9 @@ with a probability of (1 - 0.8**4)**32, below 1e-7.
 
 Defined results: a text without words (or null) has an empty set, is linked with
 nothing and is its own component; one with fewer words than a shingle has its
-whole sequence as its one shingle; repeated rows are copies (an id names one
-text); rows with a null id
+whole sequence as its one shingle; repeated rows are copies; rows that share an
+id but not a set are each in the component of their own set, and where that id
+is the least of several sets, links of any of them count; rows with a null id
 are never linked; extra columns are left alone; an empty table gives no rows.
 """
 
@@ -219,9 +220,9 @@ def mark_likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text (_id, text) of each wanted id."""
+    """The different texts (_id, text) of each wanted id; one, unless rows share an id."""
     likely = mark_likely(texts.select(F.col("id").alias("_id"), "text"), wanted).where("_likely").select("_id", "text")
-    return likely.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
+    return likely.join(wanted, "_id", "left_semi").dropDuplicates(["_id", "text"])
 
 
 def with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -415,7 +416,7 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
     involved = scratch.save(rows.select(F.col("cls").alias("_id")).distinct(), "involved")
     sets = scratch.save(shingle_sets(texts_of(texts, involved), width), "sets")
 
-    labels = None  # (cls, label) of the classes that were linked
+    labels, held = None, ""  # (cls, label) of the classes that were linked, and the table that holds them
     checked = None
     for k, (trees, near) in enumerate(ROUNDS):
         part = with_labels(rows.where(F.col("tree") < trees).select("tree", "region", "rest", "cls", "n"), labels)
@@ -433,21 +434,22 @@ def near_components(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
         edges = tested.where("linked").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         if not edges.head(1):
             continue
-        labels = relabel(labels, edges, scratch, f"labels-{k}")
+        labels, held = relabel(labels, edges, scratch, f"labels-{k}"), f"labels-{k}"
     if most > region_rows:
         hot = rows.where("hot").select("cls").distinct()
         pairs = rarest_pairs(with_labels(sets.join(hot, "cls", "left_semi"), labels), alike, scratch)
         tested = scratch.save(confirm(pairs.join(checked, ["a", "b"], "left_anti"), sets, alike), "pairs-hot")
         edges = tested.where("linked").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         if edges.head(1):
-            labels = relabel(labels, edges, scratch, "labels-hot")
+            labels, held = relabel(labels, edges, scratch, "labels-hot"), "labels-hot"
         rows = rows.where("NOT hot")
     marked = with_labels(rows.select("tree", "region", "cls", "n"), labels)
     alike_labels = scratch.save(alike_components(marked, classes, alike), "alike")
     if alike_labels.head(1):
         edges = scratch.save(test_components(alike_labels, with_labels(sets, labels), alike, scratch), "last")
         if edges.head(1):
-            labels = relabel(labels, edges, scratch, "labels")
+            labels, held = relabel(labels, edges, scratch, "labels"), "labels"
+    scratch.drop_others("signs", "classes", held)
     own = classes.select("n", "f1", "f2", "cls")
     out = signed.select("id", "n", "f1", "f2").join(own, ["n", "f1", "f2"], "left")
     if labels is not None:
@@ -462,6 +464,7 @@ def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col
     """One document of each component stays, the one of least id; of its repeated rows, one. Rows with a null id stay."""
     found, scratch = near_components(docs, width, id_col, text_col)
     found = scratch.save(found, "found")
+    scratch.drop_others("found")
     gone = scratch.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     rows = docs.select(docs[id_col].cast("long").alias("_id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
     marked = mark_likely(rows, gone)

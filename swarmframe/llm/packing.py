@@ -207,6 +207,23 @@ def step_for(length: int, unit: int) -> int:
     return max(unit, min(STEP, 1 << max(0, (length - 1).bit_length() - 6)))
 
 
+def by_units(lengths: dict[int, int], unit: int) -> dict[int, int]:
+    """Pieces by their length in units, rounded up."""
+    histogram: dict[int, int] = {}
+    for n, k in lengths.items():
+        step = step_for(n, unit)
+        size = -(-n // step) * step // unit
+        histogram[size] = histogram.get(size, 0) + k
+    return histogram
+
+
+def in_spans(histogram: dict[int, int], room: int, spans: int = SPANS) -> bool:
+    """Whether a length has as many pieces, on average, as each span needs for a sequence of them; else their order would be lost in one pattern."""
+    pieces = sum(histogram.values())
+    items = room * pieces / max(1, sum(n * k for n, k in histogram.items()))
+    return pieces >= spans * items * len(histogram)
+
+
 def units_of(length: Column, unit: int, most: int) -> Column:
     """The length of a piece in units, rounded up."""
     step = F.lit(step_for(most, unit))
@@ -342,11 +359,10 @@ def pack_sequences(docs: DataFrame, vocabulary: str | None = None, length: int =
     pieces = scratch.save(cut_pieces(slim, vocabulary, length), "pieces")
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length
     unit = unit_for(lengths, unit)
-    histogram: dict[int, int] = {}
-    for n, k in lengths.items():
-        step = step_for(n, unit)
-        size = -(-n // step) * step // unit
-        histogram[size] = histogram.get(size, 0) + k
+    histogram = by_units(lengths, unit)
+    while in_order and unit < UNIT and not in_spans(histogram, length // unit):
+        unit *= 2
+        histogram = by_units(lengths, unit)
     rows = np.array(draw_plan(histogram, length // unit, SPANS if in_order else 1), np.int64).reshape(-1, 6)
     pieces = pieces.withColumn("units", units_of(F.col("length"), unit, length))
     order = F.col("_order") if in_order else F.shiftrightunsigned(F.xxhash64("doc_id", "start"), 4)

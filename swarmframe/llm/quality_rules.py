@@ -12,7 +12,8 @@ documents reach.
 
 Defined results: a null text has no words; repeated rows each get a verdict;
 without labels of both kinds the trees keep everything; labels that are null
-teach nothing; extra columns are left alone.
+teach nothing; extra columns are left alone, but those named as an added one
+give way to it.
 """
 
 from __future__ import annotations
@@ -222,9 +223,9 @@ def judge_quality(docs: DataFrame, forest: Forest, text_col: str = "text") -> Da
     return append_columns(docs, fields, text_col, make)
 
 
-def keep_good(docs: DataFrame, forest: Forest) -> DataFrame:
+def keep_good(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """The documents that pass, as they were."""
-    judged = judge_quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text")), forest)
+    judged = judge_quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text")), forest)
     return judged.where("kept").select("row.*")
 
 

@@ -1,6 +1,7 @@
 """Near-duplicates, mixing, sharding, search, quality, chats and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -167,6 +168,14 @@ def test_near_edges(spark, odd):
     assert ND.near_components(odd.limit(0), 2)[0].count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Different texts under one id: each is compared, and none is lost to the other."""
+    words = [f"w{k}" for k in range(60)]
+    one, two = " ".join(words), " ".join(reversed(words))
+    docs = spark.createDataFrame([(5, one), (5, two), (7, one + " x"), (8, two + " y"), (9, "something else")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ND.near_components(docs, 2)[0].collect()} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
 def test_star_components(spark):
     from swarmframe.llm.common import Scratch
 
@@ -448,11 +457,17 @@ def test_flat_scoring_equals_walking():
     assert np.allclose(forest.score(x), [walk(r) for r in x])
 
 
-def test_verdicts_on_labels(spark, data):
-    got = QR.op9_quality_rules(spark, data).join(table(spark, data, "labels"), "doc_id").where("NOT base_failed").collect()
+def test_verdicts_on_labels(spark):
+    """Fitted without a fifth of the labels, judged on that fifth."""
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables are not here")
+    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
+    forest = QR.learn_quality(docs, labels.where("crc32(string(doc_id)) % 5 <> 0"))
+    got = QR.judge_quality(docs, forest).join(labels.where("crc32(string(doc_id)) % 5 = 0"), "doc_id").where("NOT base_failed").collect()
     good = [r.kept for r in got if r.quality == 1]
     bad = [r.kept for r in got if r.quality == 0]
-    assert np.mean(good) > 0.98 and (not bad or np.mean(bad) < 0.5)
+    assert len(good) > 20 and np.mean(good) > 0.9 and (not bad or np.mean(bad) < 0.5)
 
 
 def test_quality_edges(spark, odd):
@@ -462,6 +477,7 @@ def test_quality_edges(spark, odd):
     assert len(rows) == len(ODD) and not any(r.kept for r in rows) and all(r.base_failed for r in rows)
     clash = odd.withColumn("score", F.lit("mine")).withColumn("kept", F.lit("mine"))
     assert QR.keep_good(clash, forest).count() == 0 and QR.keep_good(clash, forest).columns == clash.columns
+    assert QR.judge_quality(clash, forest).columns.count("score") == 1 and QR.judge_quality(clash, forest).first().score != "mine"
     assert QR.judge_quality(odd.limit(0), forest).count() == 0
     assert QR.learn_quality(odd, labels.limit(0)).cut == 0.0
 

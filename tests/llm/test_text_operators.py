@@ -160,12 +160,24 @@ def test_folded_model_is_the_kernel_machine():
     assert model.scorer()(texts)[0] == langs
 
 
+def test_every_language_is_learned(spark):
+    """More languages than there are landmarks to share out."""
+    draw = random.Random(2)
+    letters = [chr(0x4E00 + 40 * k) for k in range(400)]
+    rows = [(n, "".join(draw.choice([a, chr(ord(a) + 1), " "]) for _ in range(30)), f"l{k:03}") for n, (k, a) in enumerate((k, a) for k, a in enumerate(letters) for _ in range(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = LI.learn_languages(docs)
+    assert len(model.languages) == 400
+    found = LI.identify_languages(docs, model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.95
+
+
 def test_language_edges(spark, odd):
     none = LI.learn_languages(odd.limit(0))
     assert [r.lang_pred for r in LI.identify_languages(odd, none).collect()] == ["und"] * len(ODD)
     clash = odd.withColumn("lang_pred", F.lit("q")).withColumn("lang_score", F.lit(1))
     kept = LI.keep_identified(clash, LI.fit_language_model(["hello there", "guten tag"], ["en", "de"]))
-    assert kept.columns == clash.columns
+    assert kept.columns == clash.columns and LI.identify_languages(clash, none).columns.count("lang_pred") == 1
     assert Counter(r.doc_id for r in kept.collect()) == Counter({4: 2, 5: 1, 6: 1, None: 1})
     assert LI.keep_identified(clash.limit(0), none).count() == 0
     one = LI.fit_language_model(["only one"], ["en"])

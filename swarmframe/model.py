@@ -163,6 +163,7 @@ class Read:
     incoming: bool = False
     macro: str | None = None
     index: dict[str, str] = field(default_factory=dict)
+    parts: int = 1  # into so many the messages of a key, cell or vertex are dealt, where one holds a large share
 
     @property
     def list_name(self) -> str | None:
@@ -187,14 +188,24 @@ class Birth:
     when: object = True
 
 
+MACRO_UPDATES = ("add", "subtract", "increment", "decrement", "min", "max", "exchange", "swap")
+
+
 @dataclass(frozen=True)
 class MacroUpdate:
-    """How agents update a macro property: add, subtract, min, max or exchange."""
+    """How agents update a macro property: add, subtract, increment, decrement, min, max, exchange or swap.
+
+    increment and decrement wrap around and are for uint32; swap writes ``value``
+    where the cell holds ``expected``. ``result`` names an agent variable that
+    gets what the agent found in the cell (of add, exchange and swap).
+    """
 
     macro: str
     how: str
     index: dict[str, str]
-    value: str
+    value: str = "1"
+    expected: str | None = None
+    result: str | None = None
 
 
 @dataclass(frozen=True)
@@ -333,8 +344,18 @@ def check_function(model: Model, f: Function) -> None:
             raise EnvironmentError_(f"{f.name}: a cell is read under one name")
         if f.macro and f.macro.macro == f.read.macro:
             raise LayerError(f"{f.name}: a macro property cannot be read and updated by one function")
-    if f.macro and f.macro.macro not in model.environment.macros:
-        raise EnvironmentError_(f"{f.name}: unknown macro property {f.macro.macro}")
+    if f.macro:
+        if f.macro.macro not in model.environment.macros:
+            raise EnvironmentError_(f"{f.name}: unknown macro property {f.macro.macro}")
+        how, kind = f.macro.how, model.environment.macros[f.macro.macro][0]
+        if how not in MACRO_UPDATES:
+            raise EnvironmentError_(f"{f.name}: unknown update {how}")
+        if how in ("increment", "decrement") and kind != "uint32":
+            raise EnvironmentError_(f"{f.name}: {how} is for uint32, not {kind}")
+        if (how == "swap") != (f.macro.expected is not None):
+            raise EnvironmentError_(f"{f.name}: a swap, and nothing else, has an expected value")
+        if f.macro.result is not None and (how not in ("add", "exchange", "swap") or f.macro.result not in agent.variables):
+            raise EnvironmentError_(f"{f.name}: the result of add, exchange or swap goes to a variable of the agent")
 
 
 def states_of(model: Model, f: Function) -> set[tuple[str, str]]:

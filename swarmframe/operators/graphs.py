@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..errors import GraphError
 
 
+def last_of(rows: DataFrame, *keys: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else rows.distinct()
+
+
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -38,12 +43,14 @@ class Graph:
         return self
 
     def upsert_vertices(self, rows: DataFrame) -> Graph:
-        """Vertices by id: those known are replaced, others are new."""
+        """Vertices by id: those known are replaced, others are new; of repeated ids the row that sorts last stays."""
+        rows = last_of(rows, "id")
         kept = self.vertices.join(rows.select("id"), "id", "left_anti")
         return Graph(kept.unionByName(rows, allowMissingColumns=True), self.edges)
 
     def upsert_edges(self, rows: DataFrame) -> Graph:
-        """Edges by (source, dest)."""
+        """Edges by (source, dest); of repeated ones the row that sorts last stays."""
+        rows = last_of(rows, "source", "dest")
         kept = self.edges.join(rows.select("source", "dest"), ["source", "dest"], "left_anti")
         return Graph(self.vertices, kept.unionByName(rows, allowMissingColumns=True))
 
@@ -72,3 +79,16 @@ class Graph:
         """Edges with properties of their target's vertex, as {new name: property}."""
         v = self.vertices.select(F.col("id").alias("dest"), *[F.col(p).alias(n) for n, p in properties.items()])
         return edges.join(v, "dest", "left")
+
+    def resized(self, vertices: int, edges: int) -> Graph:
+        """Storage of these counts, reset: vertices without an id (0) and edges without ends, other values at 0."""
+        spark = self.vertices.sparkSession
+
+        def blank(df: DataFrame, n: int, keys: tuple[str, ...]) -> DataFrame:
+            zero = lambda f: F.array().cast(f.dataType) if f.dataType.typeName() == "array" else F.lit(0).cast(f.dataType)
+            return spark.range(n).select(*[(F.lit(0).cast("long") if f.name in keys else zero(f)).alias(f.name) for f in df.schema.fields])
+
+        return Graph(blank(self.vertices, vertices, ("id",)), blank(self.edges, edges, ("source", "dest")))
+
+    def counts(self) -> tuple[int, int]:
+        return self.vertices.count(), self.edges.count()

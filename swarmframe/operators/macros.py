@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..errors import EnvironmentError_
 
 AXES = ("i", "j", "k", "w")
+#: Ids of a block within which results of one cell are summed by one task.
+BLOCK = 65_536
 
 
 def cells_of(rows: DataFrame, index: dict[str, str], value: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -53,9 +55,14 @@ def update(held: DataFrame, sent: DataFrame, how: str) -> DataFrame:
 
 def add_with_results(held: DataFrame, sent: DataFrame, order: str = "_id") -> tuple[DataFrame, DataFrame]:
     """Adds, and what each sender found before its own addition, in the order of ids."""
-    before = Window.partitionBy(*AXES).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    found = sent.withColumn("_sum", F.coalesce(F.sum("value").over(before), F.lit(0))).join(held.withColumnRenamed("value", "_held"), list(AXES), "left")
-    results = found.select(order, *AXES, (F.coalesce("_held", F.lit(0)) + F.col("_sum")).alias("old"))
+    sent = sent.withColumn("_block", F.expr(f"`{order}` div {BLOCK}"))  # a hot cell is summed in blocks of ids
+    below = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sent.groupBy(*AXES, "_block").agg(F.sum("value").alias("_n"))
+    sums = sums.select(*AXES, "_block", below(Window.partitionBy(*AXES).orderBy("_block"), "_n").alias("_above"))
+    inside = sent.withColumn("_below", below(Window.partitionBy(*AXES, "_block").orderBy(order), "value"))
+    found = inside.join(sums, [*AXES, "_block"]).join(held.withColumnRenamed("value", "_held"), list(AXES), "left")
+    results = found.select(order, *AXES, (F.coalesce("_held", F.lit(0)) + F.col("_above") + F.col("_below")).alias("old"))
+    sent = sent.drop("_block")
     return update(held, sent.drop(order), "add"), results
 
 
@@ -65,6 +72,23 @@ def exchange(held: DataFrame, sent: DataFrame, order: str = "_id") -> DataFrame:
     return held.join(new, list(AXES), "full").select(*AXES, F.coalesce("_new", "value").alias("value"))
 
 
+def exchange_results(held: DataFrame, sent: DataFrame, order: str = "_id") -> DataFrame:
+    """What each sender took out: the value of the sender before it by id, of the cell for the first."""
+    before = F.lag("value").over(Window.partitionBy(*AXES).orderBy(order))
+    found = sent.withColumn("_before", before).join(held.withColumnRenamed("value", "_held"), list(AXES), "left")
+    return found.select(order, F.coalesce("_before", "_held", F.lit(0)).alias("old"))
+
+
+def swap_results(held: DataFrame, sent: DataFrame, expected: str = "expected", order: str = "_id") -> DataFrame:
+    """What each sender of a compare-and-swap found. Those that expect something else come first, then the
+    winner, then those that lost to it: they find its value."""
+    rows = sent.join(held.withColumnRenamed("value", "_held"), list(AXES), "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    wins = rows.where(F.col(expected) == F.col("_held")).groupBy(*AXES).agg(F.min_by("value", order).alias("_new"), F.min(order).alias("_winner"))
+    both = rows.join(wins, list(AXES), "left")
+    lost = (F.col(expected) == F.col("_held")) & (F.col(order) != F.col("_winner"))
+    return both.select(order, F.when(lost, F.col("_new")).otherwise(F.col("_held")).alias("old"))
+
+
 def compare_and_swap(held: DataFrame, sent: DataFrame, expected: str = "expected", order: str = "_id") -> DataFrame:
     """One round of compare-and-swap: the first sender by id whose expectation holds wins the cell."""
     now = sent.join(held.withColumnRenamed("value", "_held"), list(AXES), "left").where(F.col(expected) == F.coalesce("_held", F.lit(0)))

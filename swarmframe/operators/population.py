@@ -11,8 +11,8 @@ from ..errors import IdCollision, ModelError
 from ..types import Variable, as_column
 
 ID = "_id"
-#: Rows of one block in which ids are numbered by one task.
-BLOCK = 65_536
+#: Keys of one block whose rows are numbered by one task, and blocks whose rows are summed by one task.
+BLOCK, BLOCKS = 65_536, 4_096
 
 
 def set_variables(population: DataFrame, values: dict[str, object]) -> DataFrame:
@@ -46,24 +46,33 @@ def number_rows(rows: DataFrame, key: str, first: Column | int, name: str = ID)
     """Gapless numbers from ``first`` in the order of a distinct long ``key``.
 
     Blocks of the key's range are numbered each on its own and shifted by the
-    rows of the blocks before, so no task sorts all rows.
+    rows of the blocks before, which are summed in two levels, so no task sorts
+    all rows or, where keys lie far apart, all blocks.
     """
     rows = rows.withColumn("_block", F.expr(f"`{key}` div {BLOCK}"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = rows_before(rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), F.expr(f"_block div {BLOCKS}"))
     inside = Window.partitionBy("_block").orderBy(key)
     start = first if isinstance(first, Column) else F.lit(first)
     return rows.join(offsets, "_block").withColumn(name, (start + F.col("_before") + F.row_number().over(inside) - 1).cast("long")).drop("_block", "_before")
 
 
+def rows_before(sizes: DataFrame, upper: Column) -> DataFrame:
+    """``_block`` and ``_before``, the rows (``_n``) of all lower blocks; ``upper`` rises with the block."""
+    below = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_upper", upper)
+    tops = sizes.groupBy("_upper").agg(F.sum("_n").alias("_n")).select("_upper", below(Window.orderBy("_upper")).alias("_above"))
+    parts = sizes.withColumn("_below", below(Window.partitionBy("_upper").orderBy("_block")))
+    return parts.join(tops, "_upper").select("_block", (F.col("_below") + F.col("_above")).alias("_before"))
+
+
 def next_id(*populations: DataFrame) -> int:
     return 1 + max((p.agg(F.max(ID)).first()[0] or 0 for p in populations), default=0)
 
 
-def assign_ids(population: DataFrame, order: str) -> DataFrame:
-    """Ids that are 0 or null are filled from the greatest id on, in the order of a distinct long."""
+def assign_ids(population: DataFrame, order: str, least: int = 1) -> DataFrame:
+    """Ids that are 0 or null are filled from the greatest id on (and from ``least``), in the order of a distinct long."""
     unset = F.coalesce(F.col(ID), F.lit(0)) == 0
-    fresh = number_rows(population.where(unset).drop(ID), order, next_id(population))
+    fresh = number_rows(population.where(unset).drop(ID), order, max(least, next_id(population)))
     return population.where(~unset).unionByName(fresh.select(*population.columns))
 
 

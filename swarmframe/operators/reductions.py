@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 
 from ..errors import ModelError
 from ..types import as_column
+from .population import rows_before
+
+#: Agents of a part of the order that one task sorts, and how often parts are cut again at most.
+PART_ROWS, LEVELS = 65_536, 7
 
 
 @dataclass(frozen=True)
@@ -97,20 +101,40 @@ def sort_population(population: DataFrame, *keys: tuple[str, str], bits: tuple[i
     return population.orderBy(*order, "_id")
 
 
-def place_in_order(population: DataFrame, *keys: tuple[str, str], parts: int = 256) -> DataFrame:
+def place_in_order(population: DataFrame, *keys: tuple[str, str], parts: int = 256, part_rows: int = PART_ROWS) -> DataFrame:
     """``_place`` (from 1) of each agent in the sorted population, without sorting it in one task.
 
-    Quantiles of the first key (a number) cut the order into parts; each part is
-    numbered on its own and shifted by the agents of the parts before.
+    While a part of the order has more than ``part_rows`` agents, quantiles (and
+    the least value) of its first key that is not the same for all of them cut it
+    again; the id is the last key. Each part is then numbered on its own and
+    shifted by the agents of the parts before.
     """
-    first, way = keys[0]
-    cuts = population.agg(F.percentile_approx(first, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0] or []
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    rows = population.withColumn("_part", -below if way == "desc" else below)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(*[getattr(F, w)(k) for k, w in keys], "_id")
-    return rows.join(offsets, "_part").withColumn("_place", (F.col("_before") + F.row_number().over(inside)).cast("long")).drop("_part", "_before")
+    spark, order = population.sparkSession, [*keys, ("_id", "asc")]
+    rows = population.withColumn("_block", F.lit(0).cast("long"))
+    points = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    for _ in range(LEVELS):
+        ends = [x for i, (k, _) in enumerate(order) for x in (F.min(k).alias(f"_l{i}"), F.max(k).alias(f"_h{i}"))]
+        sizes = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), *ends)
+        first = F.coalesce(*[F.when(F.col(f"_l{i}") < F.col(f"_h{i}"), F.lit(i)) for i in range(len(order))])
+        large = sizes.select("_block", first.alias("_key"), *[F.col(f"_l{i}") for i in range(len(order))]).where((F.col("_n") > part_rows) & F.col("_key").isNotNull())
+        held = large.collect()  # a row for each part that is cut again, later with its cuts: they are laid down, or each level would run all before it anew
+        if not held:
+            break
+        large = spark.createDataFrame(held, large.schema)
+        pick = lambda cols: F.coalesce(*[F.when(F.col("_key") == i, c.cast("double")) for i, c in enumerate(cols)])
+        chosen = large.select("_block", "_key", pick([F.col(f"_l{i}") for i in range(len(order))]).alias("_least"))
+        valued = rows.join(F.broadcast(chosen), "_block", "left").withColumn("_value", pick([F.col(k) for k, _ in order]))
+        cuts = valued.where("_key IS NOT NULL").groupBy("_block").agg(F.percentile_approx("_value", points, 10_000).alias("_q"), F.first("_least").alias("_least"))
+        cuts = cuts.select("_block", F.array_distinct(F.concat(F.array("_least"), "_q")).alias("_cuts"))
+        cuts = spark.createDataFrame(cuts.collect(), cuts.schema)
+        falls = F.col("_key").isin([i for i, (_, way) in enumerate(order) if way == "desc"])
+        below = F.expr("size(filter(_cuts, c -> c < _value))")
+        part = F.when(F.col("_key").isNull(), F.lit(0)).otherwise(F.when(falls, parts - below).otherwise(below))
+        cut = valued.join(F.broadcast(cuts), "_block", "left").withColumn("_block", (F.col("_block") * (parts + 1) + part).cast("long"))
+        rows = cut.select(*population.columns, "_block")
+    offsets = rows_before(rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), F.expr(f"_block div {parts + 1}"))
+    inside = Window.partitionBy("_block").orderBy(*[getattr(F, w)(k) for k, w in keys], "_id")
+    return rows.join(offsets, "_block").withColumn("_place", (F.col("_before") + F.row_number().over(inside)).cast("long")).drop("_block", "_before")
 
 
 def sort_by_place(population: DataFrame, space) -> DataFrame:

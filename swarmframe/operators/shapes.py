@@ -11,6 +11,7 @@ Expressions are SQL text over ``a.<agent variable>`` and ``m.<message variable>`
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -23,8 +24,8 @@ from ..errors import MessageError
 from ..types import as_column
 
 Fold = dict[str, str]
-#: Rows up to which a side of a reader-dependent all-pairs read is broadcast; its size is counted first.
-BROADCAST_ROWS = 50_000
+#: Rows of a block of either side of an all-pairs read that depends on the reader.
+BLOCK_ROWS = 20_000
 
 
 def looks_at_reader(*expressions: str | None) -> bool:
@@ -42,7 +43,7 @@ def joined(messages: DataFrame, fold: Fold) -> tuple[DataFrame, Fold]:
     return messages.withColumn("_met", F.lit(1)), {k: re.sub(r"\bcount\s*\(\s*(1|\*)\s*\)", "count(m._met)", v, flags=re.I) for k, v in fold.items()}
 
 
-def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
+def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1, own: Sequence[str] | None = None) -> DataFrame:
     """Left equi-join on ``keys`` (columns of both), residue ``where``, fold by agent.
 
     Agents keep all their columns but the keys; they must be told apart by them.
@@ -50,6 +51,7 @@ def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold
     each key into so many parts: agents go to all of them, and partial folds meet
     in one more shuffle.
     """
+    fold_by = agents.columns if own is None else own  # with ``own``, an agent has several keys and is folded over all of them
     own = [c for c in agents.columns if c not in keys]
     if not looks_at_reader(where, *fold.values()):
         near = messages.alias("m")
@@ -59,7 +61,7 @@ def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold
         out = agents.join(found, list(keys), "left")
         return out.select(*own, *[(F.coalesce(k, as_column(zero[k])).alias(k) if k in zero else F.col(k)) for k in fold])
     messages, fold = joined(messages, fold)
-    group = [F.col(f"a.{c}") for c in agents.columns]
+    group = [F.col(f"a.{c}") for c in fold_by]
     if parts > 1:
         messages = messages.withColumn("_part", F.pmod(F.xxhash64(*messages.columns), F.lit(parts)).cast("int"))
         agents, keys = agents.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]
@@ -78,11 +80,17 @@ def read_all(agents: DataFrame, messages: DataFrame, fold: Fold, where: str | No
         near = messages.alias("m")
         one = (near.where(F.expr(where)) if where else near).agg(*fold_columns(fold, defaults))
         return agents.crossJoin(F.broadcast(one))
-    messages, fold = joined(messages, fold)
-    small = messages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    near = F.broadcast(messages) if small else messages
-    both = agents.alias("a").join(near.alias("m"), F.expr(where) if where else F.lit(True), "left")
-    return both.groupBy(*[F.col(f"a.{c}") for c in agents.columns]).agg(*fold_columns(fold, defaults))
+    if where and re.search(r"\ba\.\w+\s*=\s*m\.|\bm\.\w+\s*=\s*a\.", where) and not re.search(r"\bor\b|\bnot\b|\bcase\b", where, re.I):  # an equality: a plain join
+        near, fold = joined(messages, fold)
+        both = agents.alias("a").join(near.alias("m"), F.expr(where), "left")
+        return both.groupBy(*[F.col(f"a.{c}") for c in agents.columns]).agg(*fold_columns(fold, defaults))
+    # all pairs are asked for: both sides are dealt into blocks, each pair of blocks is one key, and partial folds meet by agent
+    held, asks = math.ceil(messages.count() / BLOCK_ROWS) or 1, math.ceil(agents.count() / BLOCK_ROWS) or 1
+    block = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = agents.withColumn("_a", block(agents, asks)).withColumn("_b", every(held))
+    right = messages.withColumn("_b", block(messages, held)).withColumn("_a", every(asks))
+    return meet(left, right, ["_a", "_b"], fold, where, defaults, own=agents.columns)
 
 
 # ---- keys -----------------------------------------------------------------------
@@ -101,12 +109,14 @@ def read_bucket(agents: DataFrame, messages: DataFrame, key: str, message_key: s
     return meet(agents.withColumn("_k", F.expr(key)), messages.withColumn("_k", F.col(message_key)), ["_k"], fold, where, defaults, parts)
 
 
-def read_bucket_range(agents: DataFrame, messages: DataFrame, begin: str, end: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None) -> DataFrame:
-    """Messages with begin <= key < end: the agent asks for each key of its range."""
+def read_bucket_range(agents: DataFrame, messages: DataFrame, begin: str, end: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
+    """Messages with begin <= key < end: the agent asks for each key of its range, and folds over all of them."""
     keys = F.when(F.expr(end) > F.expr(begin), F.sequence(F.expr(begin).cast("long"), F.expr(end).cast("long") - 1)).otherwise(F.array().cast("array<long>"))
-    messages, fold = joined(messages, fold)
-    asked = agents.withColumn("_k", F.explode_outer(keys))
-    on = F.col("a._k") == F.col(f"m.{message_key}")
+    messages, fold = joined(messages.withColumn("_k", F.col(message_key)), fold)
+    asked, on = agents.withColumn("_k", F.explode_outer(keys)), F.col("a._k") == F.col("m._k")
+    if parts > 1:
+        messages = messages.withColumn("_part", F.pmod(F.xxhash64(*messages.columns), F.lit(parts)).cast("int"))
+        asked, on = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), on & (F.col("a._part") == F.col("m._part"))
     on = on & F.expr(where) if where else on
     both = asked.alias("a").join(messages.alias("m"), on, "left")
     return both.groupBy(*[F.col(f"a.{c}") for c in agents.columns]).agg(*fold_columns(fold, defaults)).select(*agents.columns, *fold)
@@ -218,7 +228,7 @@ def grid_offsets(axes: int, reach: int, neumann: bool = False) -> list[tuple[int
     return [o for o in box(reach, axes) if any(o) and (not neumann or sum(map(abs, o)) <= reach)]
 
 
-def read_grid(agents: DataFrame, messages: DataFrame, size: Sequence[int], index: Sequence[str], fold: Fold, reach: int = 1, wrap: bool = False, neumann: bool = False, where: str | None = None, defaults: dict | None = None) -> DataFrame:
+def read_grid(agents: DataFrame, messages: DataFrame, size: Sequence[int], index: Sequence[str], fold: Fold, reach: int = 1, wrap: bool = False, neumann: bool = False, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
     """Messages of the cells around the agent's own, on one, two or three axes (columns ``index`` of both)."""
     if any(s < 1 for s in size):
         raise MessageError("each dimension must be 1 or more")
@@ -227,11 +237,12 @@ def read_grid(agents: DataFrame, messages: DataFrame, size: Sequence[int], index
     n = len(size)
     here = agents.withColumns({f"_c{i}": F.col(c).cast("int") for i, c in enumerate(index)})
     dealt = deal_offsets(messages, [F.col(c).cast("int") for c in index], size, grid_offsets(n, reach, neumann), wrap)
-    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, where, defaults)
+    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, where, defaults, parts)
 
 
 def read_at(agents: DataFrame, messages: DataFrame, index: Sequence[str], at: Sequence[str], take: dict[str, str], zero=0) -> DataFrame:
-    """The message at an index the agent names; unwritten cells read ``zero``."""
+    """The message at an index the agent names; unwritten cells read ``zero``, and one written twice fails the job."""
+    messages = written_once(messages, index)
     asked = agents.withColumns({f"_c{i}": F.expr(e).cast("int") for i, e in enumerate(at)})
     held = messages.select(*[F.col(c).cast("int").alias(f"_c{i}") for i, c in enumerate(index)], *[F.col(v).alias(k) for k, v in take.items()])
     out = asked.join(held, [f"_c{i}" for i in range(len(index))], "left")
@@ -246,6 +257,21 @@ def linear_index(index: Sequence[str], size: Sequence[int]) -> Column:
     return total
 
 
+def check_index(messages: DataFrame, index: Sequence[str], size: Sequence[int]) -> DataFrame:
+    """Messages whose index lies outside the grid fail the job."""
+    inside = reduce(lambda x, y: x & y, [F.col(c).between(0, n - 1) for c, n in zip(index, size, strict=True)])
+    bad = F.raise_error(F.concat_ws(" ", F.lit("index outside the grid:"), *[F.col(c).cast("string") for c in index])).cast("long")
+    return messages.withColumn(index[0], F.when(inside, F.col(index[0])).otherwise(bad))
+
+
+def written_once(messages: DataFrame, index: Sequence[str]) -> DataFrame:
+    """The messages, one for each index; an index that was written more than once fails the job."""
+    rest = [c for c in messages.columns if c not in index]
+    bad = F.raise_error(F.concat_ws(" ", F.lit("more than one message at index"), *[F.col(c).cast("string") for c in index])).cast("int")
+    held = messages.groupBy(*index).agg(F.count(F.lit(1)).alias("_written"), *[F.first(c).alias(c) for c in rest])
+    return held.where(F.when(F.col("_written") == 1, F.lit(1)).otherwise(bad) == 1).select(*messages.columns)
+
+
 def conflicts(messages: DataFrame, index: Sequence[str]) -> DataFrame:
     """Indices written more than once."""
     return messages.groupBy(*index).agg(F.count(F.lit(1)).alias("written")).where("written > 1")
@@ -267,6 +293,6 @@ def dense(messages: DataFrame, index: Sequence[str], size: Sequence[int], values
 # ---- graphs ---------------------------------------------------------------------
 
 
-def read_edges(agents: DataFrame, edges: DataFrame, vertex: str, fold: Fold, incoming: bool = False, where: str | None = None, defaults: dict | None = None) -> DataFrame:
+def read_edges(agents: DataFrame, edges: DataFrame, vertex: str, fold: Fold, incoming: bool = False, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
     """Edges that leave (or enter) the agent's vertex; ``m`` is the edge."""
-    return read_bucket(agents, edges, vertex, "dest" if incoming else "source", fold, where, defaults)
+    return read_bucket(agents, edges, vertex, "dest" if incoming else "source", fold, where, defaults, parts)

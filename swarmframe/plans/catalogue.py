@@ -865,3 +865,6 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "SQL", "SubModel", "Variable", "entry"]
+
+
+from . import catalogue_more  # noqa: E402, F401

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import EnvironmentError_, ModelError
+from ..errors import EnvironmentError_, ModelError, StateIOError
 from ..functions.rng import HostRandom
-from ..model import Function, Layer, Model, SubModel
+from ..model import Function, Layer, MacroUpdate, Model, SubModel
 from ..operators import macros as M
 from ..operators import population as P
 from ..operators import shapes as S
@@ -30,18 +30,27 @@ from ..operators.reductions import Reduce, histogram_even, reduce_many, sort_by_
 from ..operators.vectors import AgentVector
 from ..types import Variable
 
-MACRO_SCHEMA = "i int, j int, k int, w int, value double"
+
+def macro_schema(kind: str) -> T.StructType:
+    """Cells of a macro property of this type."""
+    return T.StructType([*[T.StructField(a, T.IntegerType()) for a in M.AXES], T.StructField("value", Variable("value", kind).spark_type)])
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where it names none."""
+    """The cluster's checkpoint folder; one of our own only where it names none and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise StateIOError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="swarmframe-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def before_of(populations: dict, agent: str) -> list[DataFrame]:
+    return [p for (a, _), p in populations.items() if a == agent]
+
+
 @dataclass
 class StepLog:
     """What to log of populations and environment, and how often."""
@@ -58,11 +67,13 @@ class World:
     def __init__(self, spark: SparkSession, model: Model, seed: int = 0, run_id: int = 0, checkpoint_every: int = 1):
         self.spark, self.model, self.seed, self.run_id = spark, model.validate(), seed, run_id
         self.checkpoint_every = checkpoint_every
-        self.random = HostRandom(seed)
         self._folder = f"{checkpoint_root(spark)}/world-{uuid.uuid4().hex}"
         self._saves = 0
+        self._tables: list[str] = []
+        self._host_born: set[str] = set()
+        self._old: list[str] = []
+        self._closing: list[World] = []
         atexit.register(self.drop_tables)
-        self.graphs: dict[str, Graph] = {}
         self.log: list[dict] = []
         self.exit_log: dict | None = None
         self.times: dict[str, float] = {}
@@ -73,10 +84,13 @@ class World:
     def reset(self) -> None:
         """As declared: no agents, no messages, properties at their values."""
         self.step_count = 0
+        self.random = HostRandom(self.seed)
+        self.graphs: dict[str, Graph] = {}
+        self.next_ids = dict.fromkeys(self.model.agents, 1)  # ids are given once, also where agents have died
         self.env = {p.name: p.value for p in self.model.environment.properties.values()}
         self.populations = {(a.name, s): self._empty(a.variables.values()) for a in self.model.agents.values() for s in a.all_states}
         self.messages: dict[str, DataFrame | None] = dict.fromkeys(self.model.messages)
-        self.macros = {m: self.spark.createDataFrame([], MACRO_SCHEMA) for m in self.model.environment.macros}
+        self.macros = {m: self.spark.createDataFrame([], macro_schema(kind)) for m, (kind, _) in self.model.environment.macros.items()}
         self.log, self.exit_log = [], None
 
     def _empty(self, variables) -> DataFrame:
@@ -97,10 +111,24 @@ class World:
         id_column = F.col(P.ID).cast("long") if P.ID in named else F.lit(0).cast("long")
         keep = [order] if order and order not in [P.ID, *[v.name for v in variables]] else []
         out = rows.select(id_column.alias(P.ID), *[(F.col(v.name).cast(v.spark_type) if v.name in named else v.literal()).alias(v.name) for v in variables], *keep)
+        self.fresh_id(agent)
         if order:
-            out = P.assign_ids(out, order).drop(*keep)
+            out = P.assign_ids(out, order, self.next_ids[agent]).drop(*keep)
         self.populations[(agent, self._state(agent, state))] = out
 
+    def fresh_id(self, agent: str, *others: DataFrame) -> int:
+        """The next id of an agent type: above all that are or were in use, and above those of ``others``."""
+        if self._breeds(agent):
+            held = [p for (a, _), p in self.populations.items() if a == agent]
+            self.next_ids[agent] = max(self.next_ids[agent], P.next_id(*held, *others))
+        return self.next_ids[agent]
+
+    def _breeds(self, agent: str) -> bool:
+        """Whether agents of the type can be born at all; else no ids need be remembered."""
+        m = self.model
+        on_host = m.init or m.step or m.exit or m.exit_conditions or any(x.host for x in m.layers)
+        return bool(on_host or any(f.birth and f.birth.agent == agent for f in m.functions()) or m.agents[agent].name in self._host_born)
+
     def population(self, agent: str, state: str | None = None) -> DataFrame:
         return self.populations[(agent, self._state(agent, state))]
 
@@ -115,7 +143,9 @@ class World:
     def new_agents(self, agent: str, rows: Sequence[dict], state: str | None = None) -> None:
         """Agents born on the host."""
         key = (agent, self._state(agent, state))
-        first = P.next_id(*[p for (a, _), p in self.populations.items() if a == agent])
+        self._host_born.add(agent)
+        first = self.fresh_id(agent)
+        self.next_ids[agent] = first + len(rows)
         self.populations[key] = P.move(P.host_births(self.spark, list(self.model.agents[agent].variables.values()), rows, first), self.populations[key])
 
     # ---- environment --------------------------------------------------------
@@ -174,7 +204,7 @@ class World:
         if r.macro is not None:
             return M.read_cells(rows, self.macros[r.macro], {k: self.sql(v) for k, v in r.index.items()}, next(iter(r.fold)))
         if r.graph is not None:
-            return S.read_edges(rows, self.graphs[r.graph].edges, self.sql(r.key), fold, r.incoming, where, zero)
+            return S.read_edges(rows, self.graphs[r.graph].edges, self.sql(r.key), fold, r.incoming, where, zero, r.parts)
         spec, near = self.model.messages[r.message], messages[r.message]
         if near is None:
             kinds = [*[v.field() for v in spec.variables.values()], *[T.StructField(k, T.DoubleType() if spec.shape == "space" else T.LongType()) for k in spec.keys]]
@@ -183,16 +213,17 @@ class World:
             return S.read_all(rows, near, fold, where, zero)
         if spec.shape == "bucket":
             if r.range:
-                return S.read_bucket_range(rows, near, self.sql(r.range[0]), self.sql(r.range[1]), "_key", fold, where, zero)
-            return S.read_bucket(rows, near, self.sql(r.key), "_key", fold, where, zero)
+                return S.read_bucket_range(rows, near, self.sql(r.range[0]), self.sql(r.range[1]), "_key", fold, where, zero, r.parts)
+            return S.read_bucket(rows, near, self.sql(r.key), "_key", fold, where, zero, r.parts)
         if spec.shape == "space":
-            return S.read_space(rows, near, spec.space, fold, r.wrap, r.within, where, zero)
+            return S.read_space(rows, near, spec.space, fold, r.wrap, r.within, where, zero, r.parts)
         index = list(spec.keys)
         at = [self.sql(e) for e in r.at]
         if r.fold and all(re.fullmatch(r"m\.\w+", v) for v in fold.values()):  # plain values: an index join
             return S.read_at(rows, near, index, at, {k: v[2:] for k, v in fold.items()})
         placed = rows.withColumns({c: F.expr(e) for c, e in zip(index, at, strict=True)})
-        return S.read_grid(placed, near, spec.size, index, fold, r.reach, r.wrap, r.neumann, where, zero).drop(*index)
+        near = S.written_once(near, index)
+        return S.read_grid(placed, near, spec.size, index, fold, r.reach, r.wrap, r.neumann, where, zero, r.parts).drop(*index)
 
     def _layer(self, layer: Layer) -> None:
         if layer.host is not None:
@@ -216,17 +247,14 @@ class World:
             if f.emit:
                 self._emit(f, rows, first_writes)
             if f.macro:
-                u = f.macro
-                cells = M.checked(M.cells_of(rows, {k: self.sql(v) for k, v in u.index.items()}, self.sql(u.value), (P.ID,)), self.model.environment.macros[u.macro][1])
-                held = self.macros[u.macro]
-                new = M.exchange(held, cells) if u.how == "exchange" else M.update(held, cells.drop(P.ID), u.how)
-                self.macros[u.macro] = new.withColumn("value", F.col("value").cast("double"))
+                rows = self._update_macro(f.macro, rows)
             if f.birth:
                 b = f.birth
-                first = P.next_id(*[p for (a, _), p in before.items() if a == b.agent], *[p for (a, _), p in newborn if a[0] == b.agent])
+                first = self.fresh_id(b.agent, *[p for p in before_of(before, b.agent)], *[p for (a, _), p in newborn if a == b.agent])
                 child = P.births(rows, list(self.model.agents[b.agent].variables.values()), {k: self.sql(v) for k, v in b.values.items()}, self.sql(b.when), first)
                 newborn.append(((b.agent, b.state or self.model.agents[b.agent].first_state), child))
             if f.alive is not None:
+                self.fresh_id(f.agent)
                 rows = P.bury(rows, self.sql(f.alive), f.allow_death)
             rows = rows.select(*own)
             if start == end:
@@ -237,6 +265,32 @@ class World:
         for key, child in newborn:
             self.populations[key] = P.move(child, self.populations[key])
 
+    def _update_macro(self, u: MacroUpdate, rows: DataFrame) -> DataFrame:
+        """Updates the property; the rows, with what they found if that is asked for."""
+        kind, size = self.model.environment.macros[u.macro]
+        spark_type = Variable("value", kind).spark_type
+        held = self.macros[u.macro]
+        cells = M.cells_of(rows, {k: self.sql(v) for k, v in u.index.items()}, self.sql(u.value), (P.ID,) if u.expected is None else (P.ID, F.expr(self.sql(u.expected)).alias("expected")))
+        cells = M.checked(cells.withColumn("value", F.col("value").cast(spark_type)), size)
+        found = None
+        if u.how == "exchange":
+            new, found = M.exchange(held, cells), M.exchange_results(held, cells)
+        elif u.how == "swap":
+            new, found = M.compare_and_swap(held, cells), M.swap_results(held, cells)
+        elif u.how == "add" and u.result:
+            new, found = M.add_with_results(held, cells)
+        else:
+            new = M.update(held, cells.drop(P.ID), {"increment": "add", "decrement": "subtract"}.get(u.how, u.how))
+        value = F.col("value")
+        if u.how in ("increment", "decrement"):
+            value = F.pmod(value.cast("decimal(38,0)"), F.lit(2**32).cast("decimal(38,0)"))
+        self.macros[u.macro] = new.withColumn("value", value.cast(spark_type))
+        if not u.result:
+            return rows
+        kept = rows.columns
+        out = rows.join(found.select(P.ID, F.col("old").cast(rows.schema[u.result].dataType).alias("_old")), P.ID, "left")
+        return out.withColumn(u.result, F.col("_old")).select(*kept)
+
     def _emit(self, f: Function, rows: DataFrame, first_writes: set[str]) -> None:
         spec = self.model.messages[f.emit.message]
         senders = P.split(rows, self.sql(f.emit.when))[0] if f.emit.when is not None else rows
@@ -245,6 +299,8 @@ class World:
         made = senders.select(*[(S.as_column(values[k]).cast(kind) if k in values else spec.variables[k].literal()).alias(k) for k, kind in kinds.items()])
         if spec.shape == "bucket":
             made = S.check_keys(made, "_key", *spec.bounds)
+        if spec.shape == "grid":
+            made = S.check_index(made, spec.keys, spec.size)
         old = self.messages[spec.name]
         if spec.name in first_writes or old is None:  # the first writer of a step replaces, later ones append
             first_writes.discard(spec.name)
@@ -271,6 +327,7 @@ class World:
                 was = self.all_states(outer).select(P.ID, *[F.col(v.name).alias(f"_was_{v.name}") for v in kept])
                 joined = back.join(was, P.ID, "left")
                 self.populations[(outer, b)] = joined.select(P.ID, *[(F.coalesce(f"_was_{v.name}", v.literal()) if v in kept else F.col(v.name)).alias(v.name) for v in self.model.agents[outer].variables.values()])
+        self._closing.append(inner)  # its tables are read until this world has written its own
         for a, b in sub.properties.items():
             if not self.model.environment.properties[b].const:
                 self.env[b] = inner.env[a]
@@ -294,17 +351,44 @@ class World:
         return done
 
     def cut_lineage(self) -> None:
-        """Writes every frame that will be read again as a table of the shared folder."""
+        """Writes every frame that will be read again as a table of the shared folder.
+
+        Tables of the cut before this one are dropped, and inner worlds closed:
+        a frame that was taken from a world can be read for one step after.
+        """
+        before, self._tables = self._tables, []
 
         def saved(df: DataFrame) -> DataFrame:
             self._saves += 1
             path = f"{self._folder}/{self._saves}"
+            self._tables.append(path)
             df.write.parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
 
         self.populations = {k: saved(self._laid_out(k[0], p)) for k, p in self.populations.items()}
         self.macros = {k: saved(p) for k, p in self.macros.items()}
         self.messages = {k: saved(m) if m is not None and self.model.messages[k].persistent else m for k, m in self.messages.items()}
+        for path in self._old:
+            self._delete(path)
+        self._old = before
+        for inner in self._closing:
+            inner.close()
+        self._closing = []
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def close(self) -> None:
+        """Drops its tables and forgets them; also at the end of a ``with`` block."""
+        self.drop_tables()
+        atexit.unregister(self.drop_tables)
+
+    def __enter__(self) -> World:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _laid_out(self, agent: str, rows: DataFrame) -> DataFrame:
         """Agents of a space beside their neighbours, every ``sort_period`` steps: a matter of layout only."""
@@ -324,7 +408,7 @@ class World:
     def set_vector(self, agent: str, rows: AgentVector, state: str | None = None) -> None:
         """A population from a list; unset ids are filled in the list's order."""
         held = rows.frame(self.spark)
-        first = P.next_id(held)
+        first = max(P.next_id(held), self.fresh_id(agent))
         free = iter(range(first, first + len(rows)))
         for r in rows:
             r.id = r.id or next(free)
@@ -333,8 +417,7 @@ class World:
     def drop_tables(self) -> None:
         """Removes the written tables; frames that read them are then of no use."""
         try:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._folder)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self._folder)
         except Exception:  # the session may be gone at exit; the folder is the cluster's to clean
             pass
 

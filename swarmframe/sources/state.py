@@ -8,6 +8,7 @@ written as null and come back as NaN.
 
 from __future__ import annotations
 
+import decimal
 import json
 import math
 import os
@@ -25,9 +26,12 @@ from ..model import Model
 from ..operators import macros as M
 from ..operators.graphs import Graph
 from ..operators.population import ID
-from ..plans.world import MACRO_SCHEMA, World
+from ..functions.rng import HostRandom
+from ..plans.world import macro_schema, World
 from ..types import FLOATS, Variable
 
+#: How a value of each type is packed.
+BINARY = {"float": "f", "double": "d", "int8": "b", "uint8": "B", "int16": "h", "uint16": "H", "int32": "i", "uint32": "I", "int64": "q", "uint64": "Q", "char": "b", "uchar": "B", "int": "i", "uint": "I", "id": "q", "enum": "i"}
 PARTS = ("config", "environment", "macro_environment", "agents")
 
 
@@ -39,6 +43,8 @@ def suffix_of(path: str, known: Sequence[str]) -> str:
 
 
 def plain(value):
+    if isinstance(value, decimal.Decimal):
+        return int(value)
     """A value as JSON can hold it."""
     if isinstance(value, list | tuple):
         return [plain(v) for v in value]
@@ -59,7 +65,7 @@ def restored(value, v: Variable):
 
 
 def config_of(world: World) -> dict:
-    return {"steps": world.step_count, "random_seed": world.seed, "run_id": world.run_id}
+    return {"steps": world.step_count, "random_seed": world.seed, "run_id": world.run_id} | {f"next_{a}": world.fresh_id(a) for a in world.model.agents}
 
 
 def export_state(world: World, path: str, pretty: bool = False) -> None:
@@ -133,6 +139,9 @@ def import_state(world: World, path: str, parts: Sequence[str] = PARTS) -> World
 def restore_meta(world: World, config: dict, env: dict, parts: Sequence[str]) -> None:
     if "config" in parts:
         world.step_count, world.seed = int(config.get("steps", 0)), int(config.get("random_seed", 0))
+        world.random = HostRandom(world.seed)
+        for agent in world.model.agents:
+            world.next_ids[agent] = max(world.next_ids[agent], int(config.get(f"next_{agent}", 1)))
     if "environment" in parts:
         for name, value in env.items():
             p = world.model.environment.properties.get(name)
@@ -162,20 +171,20 @@ def import_parquet(world: World, path: str, parts: Sequence[str]) -> None:
             world.populations[(agent, state)] = world.spark.read.schema(population_schema(world.model, agent)).parquet(f"{path}/agents/{agent}/{state}")
     if "macro_environment" in parts:
         for name in world.macros:
-            world.macros[name] = world.spark.read.schema(MACRO_SCHEMA).parquet(f"{path}/macro/{name}")
+            world.macros[name] = world.spark.read.schema(macro_schema(world.model.environment.macros[name][0])).parquet(f"{path}/macro/{name}")
 
 
 def import_json(world: World, path: str, parts: Sequence[str]) -> None:
     agents = [T.StructField(a.name, T.StructType([T.StructField(s, T.ArrayType(population_schema(world.model, a.name))) for s in a.all_states])) for a in world.model.agents.values()]
     env = [T.StructField(p.name, Variable(p.name, p.kind, p.length).spark_type) for p in world.model.environment.properties.values()]
-    macro = [T.StructField(m, T.ArrayType(T.DoubleType())) for m in world.model.environment.macros]
+    macro = [T.StructField(m, T.ArrayType(Variable(m, kind).spark_type)) for m, (kind, _) in world.model.environment.macros.items()]
     schema = T.StructType([T.StructField("config", T.MapType(T.StringType(), T.LongType())), T.StructField("environment", T.StructType(env)), T.StructField("macro_environment", T.StructType(macro)), T.StructField("agents", T.StructType(agents))])
     document = world.spark.read.schema(schema).json(path, multiLine=True)
     head = document.select("config", "environment", "macro_environment").first().asDict(recursive=True)
     restore_meta(world, head["config"] or {}, head["environment"] or {}, parts)
     if "macro_environment" in parts:
         for name in world.macros:
-            world.macros[name] = sparse(world.spark, (head["macro_environment"] or {}).get(name) or [], world.model.environment.macros[name][1])
+            world.macros[name] = sparse(world.spark, (head["macro_environment"] or {}).get(name) or [], world.model.environment.macros[name])
     if "agents" in parts:
         for agent, state in world.populations:
             rows = document.select(F.explode(f"agents.{agent}.{state}").alias("r")).select("r.*")
@@ -190,7 +199,7 @@ def import_xml(world: World, path: str, parts: Sequence[str]) -> None:
         elif node.tag == "environment":
             env = {x.tag: x.text for x in node}
         elif node.tag == "macro_environment":
-            macro = {x.tag: [float(v) for v in (x.text or "").split(",") if v] for x in node}
+            macro = {x.tag: [v for v in (x.text or "").split(",") if v] for x in node}
         elif node.tag == "xagent":
             node.clear()
     typed = {}
@@ -201,7 +210,7 @@ def import_xml(world: World, path: str, parts: Sequence[str]) -> None:
     restore_meta(world, config, typed, parts)
     if "macro_environment" in parts:
         for name in world.macros:
-            world.macros[name] = sparse(world.spark, macro.get(name, []), world.model.environment.macros[name][1])
+            world.macros[name] = sparse(world.spark, macro.get(name, []), world.model.environment.macros[name])
     if "agents" in parts:
         for agent, state in world.populations:
             variables = world.model.agents[agent].variables.values()
@@ -214,8 +223,17 @@ def import_xml(world: World, path: str, parts: Sequence[str]) -> None:
 # ---- macro properties -------------------------------------------------------------
 
 
-def sparse(spark: SparkSession, values: Sequence[float], size: Sequence[int]) -> DataFrame:
-    """Cells that are not 0, from values in row-major order."""
+def number(value, kind: str):
+    """A cell of this type, as Spark takes it."""
+    if kind in FLOATS:
+        return math.nan if value is None else float(value)
+    return decimal.Decimal(int(value)) if kind == "uint64" else int(value)
+
+
+def sparse(spark: SparkSession, values: Sequence, spec: tuple[str, Sequence[int]]) -> DataFrame:
+    """Cells that are not 0, from values in row-major order; ``spec`` is type and dimensions."""
+    kind, size = spec
+    values = [number(v, kind) for v in values]
     full = (*size, *(1,) * (4 - len(size)))
     if values and len(values) != full[0] * full[1] * full[2] * full[3]:
         raise StateIOError(f"{len(values)} values for dimensions {full}")
@@ -226,18 +244,19 @@ def sparse(spark: SparkSession, values: Sequence[float], size: Sequence[int]) ->
             for n in full[::-1]:
                 rest, r = divmod(rest, n)
                 index.insert(0, r)
-            rows.append((*index, float(v)))
-    return spark.createDataFrame(rows, MACRO_SCHEMA)
+            rows.append((*index, v))
+    return spark.createDataFrame(rows, macro_schema(kind))
 
 
 def export_macro(world: World, name: str, path: str, pretty: bool = False) -> None:
-    """.json, .xml, or .bin (little-endian doubles in row-major order)."""
+    """.json, .xml, or .bin (little-endian values of the property's type in row-major order)."""
+    kind = world.model.environment.macros[name][0]
     ending = suffix_of(path, (".json", ".xml", ".bin"))
     rows = M.dense_macro(world.macros[name], world.model.environment.macros[name][1]).orderBy(*M.AXES).toLocalIterator()
-    values = [float(r["value"]) for r in rows]
+    values = [float(r["value"]) if kind in FLOATS else int(r["value"]) for r in rows]
     if ending == ".bin":
         with open(path, "wb") as f:
-            f.write(struct.pack(f"<{len(values)}d", *values))
+            f.write(struct.pack(f"<{len(values)}{BINARY[kind]}", *values))
     else:
         with open(path, "w", encoding="utf-8") as f:
             f.write(json.dumps({name: values}, indent=1 if pretty else None) if ending == ".json" else f"<macro_environment><{name}>{xml_text(values)}</{name}></macro_environment>")
@@ -247,12 +266,13 @@ def import_macro(world: World, name: str, path: str) -> None:
     ending = suffix_of(path, (".json", ".xml", ".bin"))
     raw = bytes(world.spark.read.format("binaryFile").load(path).first()["content"])
     if ending == ".bin":
-        values = list(struct.unpack(f"<{len(raw) // 8}d", raw))
+        code = BINARY[world.model.environment.macros[name][0]]
+        values = list(struct.unpack(f"<{len(raw) // struct.calcsize(code)}{code}", raw))
     elif ending == ".json":
         values = json.loads(raw)[name]
     else:
-        values = [float(v) for v in ET.fromstring(raw).find(name).text.split(",")]
-    world.macros[name] = sparse(world.spark, values, world.model.environment.macros[name][1])
+        values = ET.fromstring(raw).find(name).text.split(",")
+    world.macros[name] = sparse(world.spark, values, world.model.environment.macros[name])
 
 
 # ---- graphs -----------------------------------------------------------------------

@@ -47,7 +47,7 @@ class Variable:
     @property
     def spark_type(self) -> T.DataType:
         one = SPARK_TYPES[self.kind]
-        return T.ArrayType(one, False) if self.length else one
+        return T.ArrayType(one) if self.length else one
 
     @property
     def initial(self):

@@ -105,10 +105,10 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 def test_places_where_keys_tie(spark, keys):
     """One key for all rows, few keys, many keys: parts stay small, and places are those of a plain sort."""
     rows = spark.range(5000).selectExpr("id * 7919 % 5000 AS _id", "id % 3 AS k", "CAST(id % 611 AS double) AS x").withColumn("one", F.lit(1))
-    got = {r._id: r._place for r in R.place_in_order(rows, *keys, parts=8, part_rows=50).collect()}
+    got = {r._id: r._place for r in R.place_in_order(rows, *keys, parts=8, part_rows=400).collect()}
     plain = sorted(rows.collect(), key=lambda r: (*[r[k] if w == "asc" else -r[k] for k, w in keys], r._id))
     assert got == {r._id: n + 1 for n, r in enumerate(plain)}
-    got = {r._id: r._place for r in R.place_in_order(rows, ("one", "asc"), parts=8, part_rows=50).collect()}
+    got = {r._id: r._place for r in R.place_in_order(rows, ("one", "asc"), parts=8, part_rows=400).collect()}
     assert got == {i: i + 1 for i in range(5000)}
 
 

@@ -23,6 +23,7 @@ def parser(name: str) -> argparse.ArgumentParser:
     p.add_argument("--out", help="state at the end (.json, .xml or a directory)")
     p.add_argument("--truncate", action="store_true", help="overwrite logs that exist")
     p.add_argument("-t", "--timing", action="store_true", help="print seconds")
+    p.add_argument("-c", "--console", action="store_true", help="taken, without effect: no window is ever opened")
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("-q", "--quiet", action="store_true")
     return p

@@ -163,7 +163,7 @@ class Read:
     incoming: bool = False
     macro: str | None = None
     index: dict[str, str] = field(default_factory=dict)
-    parts: int = 1  # into so many the messages of a key, cell or vertex are dealt, where one holds a large share
+    parts: int = 1  # into so many the messages of a key, cell or vertex are dealt, where one holds a large share; 0: as a count finds
 
     @property
     def list_name(self) -> str | None:

@@ -26,6 +26,8 @@ from ..types import as_column
 Fold = dict[str, str]
 #: Rows of a block of either side of an all-pairs read that depends on the reader.
 BLOCK_ROWS = 20_000
+#: Messages of one key that one task takes, and the keys that may have more: where ``parts`` is 0, larger ones are dealt out.
+HOT_ROWS, HOT_KEYS = 100_000, 10_000
 
 
 def looks_at_reader(*expressions: str | None) -> bool:
@@ -43,16 +45,41 @@ def joined(messages: DataFrame, fold: Fold) -> tuple[DataFrame, Fold]:
     return messages.withColumn("_met", F.lit(1)), {k: re.sub(r"\bcount\s*\(\s*(1|\*)\s*\)", "count(m._met)", v, flags=re.I) for k, v in fold.items()}
 
 
-def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1, own: Sequence[str] | None = None) -> DataFrame:
-    """Left equi-join on ``keys`` (columns of both), residue ``where``, fold by agent.
+def dealt(agents: DataFrame, messages: DataFrame, keys: Sequence[str], parts: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with one more key: messages of a key in ``parts`` parts, agents at each of them.
+
+    With 0, keys are counted and only those with too many messages are dealt out,
+    into as many parts as they need; there are ``HOT_KEYS`` of them at most, so
+    they are broadcast. Messages that are equal in all columns share a part.
+    """
+    keys = list(keys)
+    if parts == 1:
+        return agents, messages, keys
+    share, own = F.lit(parts), messages.columns
+    if parts == 0:
+        total = messages.count()
+        if total <= HOT_ROWS:
+            return agents, messages, keys
+        most = max(HOT_ROWS, total // HOT_KEYS)
+        counts = messages.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+        hot = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+        agents, messages = agents.join(hot, keys, "left"), messages.join(hot, keys, "left")
+        share = F.coalesce("_parts", F.lit(1))
+    messages = messages.withColumn("_part", F.pmod(F.xxhash64(*own), share).cast("int")).select(*own, "_part")
+    return agents.withColumn("_part", F.explode(F.sequence(F.lit(0), share - 1))), messages, [*keys, "_part"]
+
+
+def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1, own: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Left equi-join on ``by`` and ``keys`` (columns of both), residue ``where``, fold by agent.
 
     Agents keep all their columns but the keys; they must be told apart by them.
     Where one key holds a large share of the messages, ``parts`` deals those of
-    each key into so many parts: agents go to all of them, and partial folds meet
-    in one more shuffle.
+    each key into so many parts (0: as many as a count finds, of hot keys only):
+    agents go to all of them, and partial folds meet in one more shuffle.
     """
     fold_by = agents.columns if own is None else own  # with ``own``, an agent has several keys and is folded over all of them
     own = [c for c in agents.columns if c not in keys]
+    keys = [*by, *keys]
     if not looks_at_reader(where, *fold.values()):
         near = messages.alias("m")
         near = near.where(F.expr(where)) if where else near
@@ -62,9 +89,7 @@ def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold
         return out.select(*own, *[(F.coalesce(k, as_column(zero[k])).alias(k) if k in zero else F.col(k)) for k in fold])
     messages, fold = joined(messages, fold)
     group = [F.col(f"a.{c}") for c in fold_by]
-    if parts > 1:
-        messages = messages.withColumn("_part", F.pmod(F.xxhash64(*messages.columns), F.lit(parts)).cast("int"))
-        agents, keys = agents.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]
+    agents, messages, keys = dealt(agents, messages, keys, parts)
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"m.{k}") for k in keys])
     on = on & F.expr(where) if where else on
     both = agents.alias("a").join(messages.alias("m"), on, "left")
@@ -74,8 +99,10 @@ def meet(agents: DataFrame, messages: DataFrame, keys: Sequence[str], fold: Fold
 # ---- all messages -------------------------------------------------------------
 
 
-def read_all(agents: DataFrame, messages: DataFrame, fold: Fold, where: str | None = None, defaults: dict | None = None) -> DataFrame:
-    """Every message. A fold free of the reader is one row for all; else all pairs under ``where``."""
+def read_all(agents: DataFrame, messages: DataFrame, fold: Fold, where: str | None = None, defaults: dict | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Every message (of the same ``by``). A fold free of the reader is one row for all; else all pairs under ``where``."""
+    if by:
+        return meet(agents, messages, [], fold, where, defaults, by=by)
     if not looks_at_reader(where, *fold.values()):
         near = messages.alias("m")
         one = (near.where(F.expr(where)) if where else near).agg(*fold_columns(fold, defaults))
@@ -104,19 +131,17 @@ def check_keys(messages: DataFrame, key: str, low: int, high: int) -> DataFrame:
     return messages.withColumn(key, F.when(F.col(key).between(low, high), F.col(key)).otherwise(bad))
 
 
-def read_bucket(agents: DataFrame, messages: DataFrame, key: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
+def read_bucket(agents: DataFrame, messages: DataFrame, key: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Messages whose key equals the agent's expression ``key``."""
-    return meet(agents.withColumn("_k", F.expr(key)), messages.withColumn("_k", F.col(message_key)), ["_k"], fold, where, defaults, parts)
+    return meet(agents.withColumn("_k", F.expr(key)), messages.withColumn("_k", F.col(message_key)), ["_k"], fold, where, defaults, parts, by=by)
 
 
-def read_bucket_range(agents: DataFrame, messages: DataFrame, begin: str, end: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
+def read_bucket_range(agents: DataFrame, messages: DataFrame, begin: str, end: str, message_key: str, fold: Fold, where: str | None = None, defaults: dict | None = None, parts: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Messages with begin <= key < end: the agent asks for each key of its range, and folds over all of them."""
     keys = F.when(F.expr(end) > F.expr(begin), F.sequence(F.expr(begin).cast("long"), F.expr(end).cast("long") - 1)).otherwise(F.array().cast("array<long>"))
     messages, fold = joined(messages.withColumn("_k", F.col(message_key)), fold)
-    asked, on = agents.withColumn("_k", F.explode_outer(keys)), F.col("a._k") == F.col("m._k")
-    if parts > 1:
-        messages = messages.withColumn("_part", F.pmod(F.xxhash64(*messages.columns), F.lit(parts)).cast("int"))
-        asked, on = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), on & (F.col("a._part") == F.col("m._part"))
+    asked, messages, on_keys = dealt(agents.withColumn("_k", F.explode_outer(keys)), messages, [*by, "_k"], parts)
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"m.{k}") for k in on_keys])
     on = on & F.expr(where) if where else on
     both = asked.alias("a").join(messages.alias("m"), on, "left")
     return both.groupBy(*[F.col(f"a.{c}") for c in agents.columns]).agg(*fold_columns(fold, defaults)).select(*agents.columns, *fold)
@@ -203,7 +228,7 @@ def box(reach: int, axes: int) -> list[tuple[int, ...]]:
     return spans
 
 
-def read_space(agents: DataFrame, messages: DataFrame, space: Space, fold: Fold, wrap: bool = False, within: float | None = None, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
+def read_space(agents: DataFrame, messages: DataFrame, space: Space, fold: Fold, wrap: bool = False, within: float | None = None, where: str | None = None, defaults: dict | None = None, parts: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Messages in the agent's cell and those next to it; ``within`` also checks the distance (<=)."""
     if wrap:
         space.checked_wrap()
@@ -215,7 +240,7 @@ def read_space(agents: DataFrame, messages: DataFrame, space: Space, fold: Fold,
     dealt = deal_offsets(messages, [space.cell(i) for i in range(n)], space.cells, box(1, n), wrap)
     near = f"{distance_sql(space, wrap)} <= {within * within!r}" if within is not None else None
     both = " AND ".join(f"({x})" for x in (near, where) if x) or None
-    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, both, defaults, parts)
+    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, both, defaults, parts, by=by)
 
 
 # ---- grids ----------------------------------------------------------------------
@@ -228,7 +253,7 @@ def grid_offsets(axes: int, reach: int, neumann: bool = False) -> list[tuple[int
     return [o for o in box(reach, axes) if any(o) and (not neumann or sum(map(abs, o)) <= reach)]
 
 
-def read_grid(agents: DataFrame, messages: DataFrame, size: Sequence[int], index: Sequence[str], fold: Fold, reach: int = 1, wrap: bool = False, neumann: bool = False, where: str | None = None, defaults: dict | None = None, parts: int = 1) -> DataFrame:
+def read_grid(agents: DataFrame, messages: DataFrame, size: Sequence[int], index: Sequence[str], fold: Fold, reach: int = 1, wrap: bool = False, neumann: bool = False, where: str | None = None, defaults: dict | None = None, parts: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Messages of the cells around the agent's own, on one, two or three axes (columns ``index`` of both)."""
     if any(s < 1 for s in size):
         raise MessageError("each dimension must be 1 or more")
@@ -237,15 +262,15 @@ def read_grid(agents: DataFrame, messages: DataFrame, size: Sequence[int], index
     n = len(size)
     here = agents.withColumns({f"_c{i}": F.col(c).cast("int") for i, c in enumerate(index)})
     dealt = deal_offsets(messages, [F.col(c).cast("int") for c in index], size, grid_offsets(n, reach, neumann), wrap)
-    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, where, defaults, parts)
+    return meet(here, dealt, [f"_c{i}" for i in range(n)], fold, where, defaults, parts, by=by)
 
 
-def read_at(agents: DataFrame, messages: DataFrame, index: Sequence[str], at: Sequence[str], take: dict[str, str], zero=0) -> DataFrame:
+def read_at(agents: DataFrame, messages: DataFrame, index: Sequence[str], at: Sequence[str], take: dict[str, str], zero=0, by: Sequence[str] = ()) -> DataFrame:
     """The message at an index the agent names; unwritten cells read ``zero``, and one written twice fails the job."""
-    messages = written_once(messages, index)
+    messages = written_once(messages, [*by, *index])
     asked = agents.withColumns({f"_c{i}": F.expr(e).cast("int") for i, e in enumerate(at)})
-    held = messages.select(*[F.col(c).cast("int").alias(f"_c{i}") for i, c in enumerate(index)], *[F.col(v).alias(k) for k, v in take.items()])
-    out = asked.join(held, [f"_c{i}" for i in range(len(index))], "left")
+    held = messages.select(*by, *[F.col(c).cast("int").alias(f"_c{i}") for i, c in enumerate(index)], *[F.col(v).alias(k) for k, v in take.items()])
+    out = asked.join(held, [*by, *[f"_c{i}" for i in range(len(index))]], "left")
     return out.select(*agents.columns, *[F.coalesce(k, F.lit(zero)).alias(k) for k in take])
 
 

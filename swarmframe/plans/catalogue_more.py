@@ -18,6 +18,8 @@ from ..operators.graphs import Graph
 from ..sources import state as IO
 from ..types import Variable, wrapping_add
 from .catalogue import CUSTOMERS_SQL, EDGES_SQL, ORDERS_SQL, POINTS_SQL, VERTICES_SQL, WIDTH, cents, customers, orders, points, query, read, trade
+from .runplans import RunPlans
+from .runs import Runs
 from .world import checkpoint_root, StepLog, World
 
 BIG = 2**53
@@ -446,3 +448,23 @@ def circles_model(spark, sf):
     world.set_population("circle", points(spark, sf).select("_id", "x", "y", "z"))
     world.step()
     return world.population("circle").select("_id", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in "xyz"])
+
+
+# ---- many runs ------------------------------------------------------------------------------
+
+
+@query("ensemble_worlds", f"SELECT p.range AS run_id, sum(idx + (1 + p.range % 2) * n * (3 + 4 * (p.range // 2)))::BIGINT AS total FROM (SELECT *, count(*) OVER (PARTITION BY idx % 10) AS n FROM ({CUSTOMERS_SQL})), range(6) p GROUP BY 1")
+def ensemble_worlds(spark, sf):
+    """Six runs of one or two steps as one world: every agent counts those of its key, and the exit log sums each run."""
+    model = Model("sweep")
+    model.agent("c").variable("idx", "int64").variable("v", "int64")
+    model.environment.property("b", 1, "int64")
+    model.message("here", shape="bucket", bounds=(0, 9)).variable("v", "int64")
+    model.layer(Function("show", "c", emit=Emit("here", {"_key": "idx % 10", "v": "v"})))
+    model.layer(Function("take", "c", read=Read("here", {"n": "count(1)"}, key="idx % 10", parts=0), set={"v": "v + n * env.b"}))
+    plans = RunPlans(spark, model, 6)
+    plans = RunPlans(spark, model, 6, plans.frame.selectExpr("run_id", "1 + run_id % 2 AS steps", "seed", "folder", "3 + 4 * (run_id DIV 2) AS b"))
+    runs = Runs(spark, model, plans)
+    runs.set_population("c", customers(spark, sf).selectExpr("_id", "idx", "idx AS v"))
+    runs.simulate(exit_log=StepLog({("c", "default"): [R.Reduce("sum", "v")]}))
+    return runs.log_frame().where("name = 'c.default.sum_v'").selectExpr("run_id", "CAST(value AS BIGINT) AS total")

@@ -64,6 +64,8 @@ class StepLog:
 class World:
     """A running model. Host functions get it as their only argument."""
 
+    by: tuple[str, ...] = ()  # columns that part agents and messages into runs, for a world of many of them
+
     def __init__(self, spark: SparkSession, model: Model, seed: int = 0, run_id: int = 0, checkpoint_every: int = 1):
         self.spark, self.model, self.seed, self.run_id = spark, model.validate(), seed, run_id
         self.checkpoint_every = checkpoint_every
@@ -94,7 +96,7 @@ class World:
         self.log, self.exit_log = [], None
 
     def _empty(self, variables) -> DataFrame:
-        return self.spark.createDataFrame([], T.StructType([T.StructField(P.ID, T.LongType()), *[v.field() for v in variables]]))
+        return self.spark.createDataFrame([], T.StructType([*[T.StructField(c, T.LongType()) for c in (*self.by, P.ID)], *[v.field() for v in variables]]))
 
     def _state(self, agent: str, state: str | None) -> str:
         if agent not in self.model.agents:
@@ -110,7 +112,7 @@ class World:
         named = rows.columns
         id_column = F.col(P.ID).cast("long") if P.ID in named else F.lit(0).cast("long")
         keep = [order] if order and order not in [P.ID, *[v.name for v in variables]] else []
-        out = rows.select(id_column.alias(P.ID), *[(F.col(v.name).cast(v.spark_type) if v.name in named else v.literal()).alias(v.name) for v in variables], *keep)
+        out = rows.select(*self.by, id_column.alias(P.ID), *[(F.col(v.name).cast(v.spark_type) if v.name in named else v.literal()).alias(v.name) for v in variables], *keep)
         self.fresh_id(agent)
         if order:
             out = P.assign_ids(out, order, self.next_ids[agent]).drop(*keep)
@@ -163,8 +165,8 @@ class World:
         self.env[name] = Variable(name, p.kind, p.length).check(value)
         return old
 
-    def sql(self, expression):
-        """SQL text with ``env.<name>`` as literals."""
+    def sql(self, expression, reader: str = ""):
+        """SQL text with ``env.<name>`` as literals; ``reader`` is the reader's prefix in a read."""
         if not isinstance(expression, str):
             return expression
 
@@ -199,31 +201,31 @@ class World:
 
     def _read(self, f: Function, rows: DataFrame, messages: dict[str, DataFrame | None]) -> DataFrame:
         r = f.read
-        fold = {k: self.sql(v) for k, v in r.fold.items()}
-        where, zero = self.sql(r.where), r.defaults
+        fold = {k: self.sql(v, "a.") for k, v in r.fold.items()}
+        where, zero, by = self.sql(r.where, "a."), r.defaults, self.by
         if r.macro is not None:
             return M.read_cells(rows, self.macros[r.macro], {k: self.sql(v) for k, v in r.index.items()}, next(iter(r.fold)))
         if r.graph is not None:
             return S.read_edges(rows, self.graphs[r.graph].edges, self.sql(r.key), fold, r.incoming, where, zero, r.parts)
         spec, near = self.model.messages[r.message], messages[r.message]
         if near is None:
-            kinds = [*[v.field() for v in spec.variables.values()], *[T.StructField(k, T.DoubleType() if spec.shape == "space" else T.LongType()) for k in spec.keys]]
+            kinds = [*[T.StructField(c, T.LongType()) for c in by], *[v.field() for v in spec.variables.values()], *[T.StructField(k, T.DoubleType() if spec.shape == "space" else T.LongType()) for k in spec.keys]]
             near = self.spark.createDataFrame([], T.StructType(kinds))
         if spec.shape == "all":
-            return S.read_all(rows, near, fold, where, zero)
+            return S.read_all(rows, near, fold, where, zero, by)
         if spec.shape == "bucket":
             if r.range:
-                return S.read_bucket_range(rows, near, self.sql(r.range[0]), self.sql(r.range[1]), "_key", fold, where, zero, r.parts)
-            return S.read_bucket(rows, near, self.sql(r.key), "_key", fold, where, zero, r.parts)
+                return S.read_bucket_range(rows, near, self.sql(r.range[0]), self.sql(r.range[1]), "_key", fold, where, zero, r.parts, by)
+            return S.read_bucket(rows, near, self.sql(r.key), "_key", fold, where, zero, r.parts, by)
         if spec.shape == "space":
-            return S.read_space(rows, near, spec.space, fold, r.wrap, r.within, where, zero, r.parts)
+            return S.read_space(rows, near, spec.space, fold, r.wrap, r.within, where, zero, r.parts, by)
         index = list(spec.keys)
         at = [self.sql(e) for e in r.at]
         if r.fold and all(re.fullmatch(r"m\.\w+", v) for v in fold.values()):  # plain values: an index join
-            return S.read_at(rows, near, index, at, {k: v[2:] for k, v in fold.items()})
+            return S.read_at(rows, near, index, at, {k: v[2:] for k, v in fold.items()}, by=by)
         placed = rows.withColumns({c: F.expr(e) for c, e in zip(index, at, strict=True)})
-        near = S.written_once(near, index)
-        return S.read_grid(placed, near, spec.size, index, fold, r.reach, r.wrap, r.neumann, where, zero, r.parts).drop(*index)
+        near = S.written_once(near, [*by, *index])
+        return S.read_grid(placed, near, spec.size, index, fold, r.reach, r.wrap, r.neumann, where, zero, r.parts, by).drop(*index)
 
     def _layer(self, layer: Layer) -> None:
         if layer.host is not None:
@@ -240,7 +242,9 @@ class World:
             start, end = f.initial or agent.first_state, f.end or f.initial or agent.first_state
             rows = before[(f.agent, start)]
             own = rows.columns
-            rows, rest = P.split(rows, self.sql(f.condition)) if f.condition is not None else (rows, None)
+            rows, condition = self._surrounded(rows), self._condition(f)
+            rows, rest = P.split(rows, condition) if condition is not None else (rows, None)
+            rest = rest.select(*own) if rest is not None else None
             if f.read:
                 rows = self._read(f, rows, sent)
             rows = P.set_variables(rows, {k: self.sql(v) for k, v in f.set.items()})
@@ -265,6 +269,13 @@ class World:
         for key, child in newborn:
             self.populations[key] = P.move(child, self.populations[key])
 
+    def _surrounded(self, rows: DataFrame) -> DataFrame:
+        """Agents with what expressions see besides their variables."""
+        return rows
+
+    def _condition(self, f: Function):
+        return None if f.condition is None else self.sql(f.condition)
+
     def _update_macro(self, u: MacroUpdate, rows: DataFrame) -> DataFrame:
         """Updates the property; the rows, with what they found if that is asked for."""
         kind, size = self.model.environment.macros[u.macro]
@@ -296,7 +307,7 @@ class World:
         senders = P.split(rows, self.sql(f.emit.when))[0] if f.emit.when is not None else rows
         values = {k: self.sql(v) for k, v in f.emit.values.items()}
         kinds = {v.name: v.spark_type for v in spec.variables.values()} | {k: T.DoubleType() if spec.shape == "space" else T.LongType() for k in spec.keys}
-        made = senders.select(*[(S.as_column(values[k]).cast(kind) if k in values else spec.variables[k].literal()).alias(k) for k, kind in kinds.items()])
+        made = senders.select(*self.by, *[(S.as_column(values[k]).cast(kind) if k in values else spec.variables[k].literal()).alias(k) for k, kind in kinds.items()])
         if spec.shape == "bucket":
             made = S.check_keys(made, "_key", *spec.bounds)
         if spec.shape == "grid":

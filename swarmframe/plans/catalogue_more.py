@@ -450,6 +450,131 @@ def circles_model(spark, sf):
     return world.population("circle").select("_id", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in "xyz"])
 
 
+# Flocks: how much a boid turns to the middle, the mean velocity and away from those too near; its steps.
+FLOCK = {"steer": 0.05, "match": 0.02, "part": 10.0, "change": 0.15, "pace": 0.005, "near": 0.5}
+FLOCK_SQL = "SELECT _id, x, y, z, y AS fx, z AS fy, x AS fz FROM ({})"
+
+
+def flock_sql() -> str:
+    c = FLOCK
+    met = ", ".join(f"sum(m.{v}) AS c{v}, sum(m.f{v}) AS v{v}, sum(CASE WHEN {CIRCLE} < {c['near']} THEN (a.{v} - m.{v}) * pow(1 - {CIRCLE} / {c['near']}, 2) ELSE 0 END) AS p{v}" for v in "xyz")
+    turned = ", ".join(f"b.f{v} + {c['change']} * coalesce({c['part']} * p{v} + (c{v} / n - b.{v}) * {c['steer']} + v{v} / n * {c['match']} - b.f{v}, 0) AS f{v}" for v in "xyz")
+    paced = ", ".join(f"f{v} * CASE WHEN s > 1 THEN 1 / s WHEN s > 0 AND s < 0.5 THEN 0.5 / s ELSE 1 END AS f{v}" for v in "xyz")
+    moved = ", ".join(f"CAST(round(1e6 * least(greatest({v} + {c['pace']} * f{v}, -5), 5)) AS BIGINT) AS {v}, CAST(round(1e6 * f{v}) AS BIGINT) AS f{v}" for v in "xyz")
+    return (
+        f"WITH b AS ({FLOCK_SQL.format(POINTS_SQL)}), met AS (SELECT a._id, count(*) AS n, {met} FROM b a JOIN b m ON m._id <> a._id AND {CIRCLE} < 2 GROUP BY a._id),"
+        f" turned AS (SELECT b._id, b.x, b.y, b.z, {turned} FROM b LEFT JOIN met ON met._id = b._id), speed AS (SELECT *, sqrt(fx * fx + fy * fy + fz * fz) AS s FROM turned),"
+        f" paced AS (SELECT _id, x, y, z, {paced} FROM speed) SELECT _id, {moved} FROM paced"
+    )
+
+
+@query("boids_model", flock_sql())
+def boids_model(spark, sf):
+    """Boids in space: cohesion, alignment and separation from one read, bounded speeds, a step within the box."""
+    model = Model("boids")
+    agent, message = model.agent("boid"), model.message("seen", shape="space", space=S.Space((-5.0, -5.0, -5.0), (5.0, 5.0, 5.0), 2.0))
+    for v in ("x", "y", "z", "fx", "fy", "fz"):
+        agent.variable(v)
+    agent.variable("speed")
+    message.variable("id", "int64").variable("fx").variable("fy").variable("fz")
+    for name, value in FLOCK.items():
+        model.environment.property(name, value)
+    fold = {"n": "count(m.id)"}
+    for v in "xyz":
+        fold |= {f"c{v}": f"sum(m.{v})", f"v{v}": f"sum(m.f{v})", f"p{v}": f"sum(CASE WHEN {CIRCLE} < env.near THEN (a.{v} - m.{v}) * pow(1 - {CIRCLE} / env.near, 2) ELSE 0 END)"}
+    turn = {f"f{v}": f"f{v} + env.change * coalesce(env.part * p{v} + (c{v} / nullif(n, 0) - {v}) * env.steer + v{v} / nullif(n, 0) * env.match - f{v}, 0)" for v in "xyz"}
+    pace = {f"f{v}": f"f{v} * CASE WHEN speed > 1 THEN 1 / speed WHEN speed > 0 AND speed < 0.5 THEN 0.5 / speed ELSE 1 END" for v in "xyz"}
+    step = {v: f"least(greatest({v} + env.pace * f{v}, -5), 5)" for v in "xyz"}
+    model.layer(Function("show", "boid", emit=Emit("seen", {v: v for v in ("x", "y", "z", "fx", "fy", "fz")} | {"id": "_id"})))
+    model.layer(Function("turn", "boid", read=Read("seen", fold, where=f"m.id <> a._id AND {CIRCLE} < 2"), set=turn | {"speed": "sqrt(fx * fx + fy * fy + fz * fz)"}))
+    model.layer(Function("move", "boid", set=pace | step))
+    world = World(spark, model, checkpoint_every=0)
+    world.set_population("boid", points(spark, sf).selectExpr("_id", "x", "y", "z", "y AS fx", "z AS fy", "x AS fz"))
+    world.step()
+    return world.population("boid").select("_id", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("x", "y", "z", "fx", "fy", "fz")])
+
+
+# Cells of a sugar field: status 0 is free, 1 settled, 2 wants to move; an occupied cell has level -1.
+SUGAR_ROUNDS = 9
+FIELD = {
+    "ix": "ix", "iy": "iy", "status": "CAST(alive AS BIGINT)", "who": "CASE WHEN alive = 1 THEN idx ELSE -1 END", "wealth": "CASE WHEN alive = 1 THEN 1 + idx % 4 ELSE 0 END",
+    "rate": "CASE WHEN alive = 1 THEN 1 + idx % 3 ELSE 0 END", "level": "CASE WHEN alive = 1 THEN idx % 3 ELSE idx % 2 END", "top": "1 + nation % 4",
+}
+LIVE = {
+    "wealth": "CASE WHEN status > 0 THEN greatest(0, wealth + greatest(level, 0) - rate) ELSE 0 END",
+    "level": "CASE WHEN status > 0 AND wealth > 0 THEN -1 WHEN status > 0 THEN least(top, 1) ELSE least(top, level + 1) END",
+    "who": "CASE WHEN wealth > 0 THEN who ELSE -1 END",
+    "rate": "CASE WHEN wealth > 0 THEN rate ELSE 0 END",
+    "status": "CASE WHEN wealth > 0 THEN 2 ELSE 0 END",
+}
+
+
+def sugar_sql() -> str:
+    """One step: cells live in turn of ``LIVE``, then rounds of requests, written out."""
+    tables = [f"f AS MATERIALIZED (SELECT _id, {', '.join(f'{e} AS {n}' for n, e in FIELD.items())} FROM ({CUSTOMERS_SQL}))"]
+    tables.append(f"nb AS MATERIALIZED (SELECT a._id AS a, b._id AS b FROM f a, range(-1, 2) x(dx), range(-1, 2) y(dy), f b WHERE (dx <> 0 OR dy <> 0) AND b.ix = (a.ix + dx + {WIDTH}) % {WIDTH} AND b.iy = (a.iy + dy + (SELECT max(iy) + 1 FROM f)) % (SELECT max(iy) + 1 FROM f))")
+    last = "f"
+    for k, (name, e) in enumerate(LIVE.items()):
+        tables.append(f"l{k} AS (SELECT * REPLACE ({e} AS {name}) FROM {last})")
+        last = f"l{k}"
+    for k in range(SUGAR_ROUNDS):
+        tables.append(f"ask{k} AS MATERIALIZED (SELECT a._id AS src, arg_max(m._id, m.level * 1000000000 + m._id) AS target, any_value(a.who) AS who, any_value(a.wealth) AS wealth, any_value(a.rate) AS rate FROM nb JOIN {last} a ON a._id = nb.a JOIN {last} m ON m._id = nb.b WHERE a.status = 2 AND m.status = 0 GROUP BY 1)")
+        tables.append(f"win{k} AS MATERIALIZED (SELECT target, max(who) AS who, arg_max(src, who) AS src, arg_max(wealth, who) AS wealth, arg_max(rate, who) AS rate FROM ask{k} GROUP BY 1)")
+        new = lambda c, won, left: f"CASE WHEN w.target IS NOT NULL THEN {won} WHEN l.src IS NOT NULL THEN {left} ELSE s.{c} END AS {c}"
+        tables.append(
+            f"s{k} AS MATERIALIZED (SELECT s._id, s.ix, s.iy, s.top, CASE WHEN w.target IS NOT NULL THEN 1 WHEN l.src IS NOT NULL THEN 0 WHEN s.status = 2 AND q.src IS NULL THEN 1 ELSE s.status END AS status,"
+            f" {new('who', 'w.who', '-1')}, {new('wealth', 'w.wealth + s.level', '0')}, {new('rate', 'w.rate', '0')}, {new('level', '-1', '0')}"
+            f" FROM {last} s LEFT JOIN win{k} w ON w.target = s._id LEFT JOIN win{k} l ON l.src = s._id LEFT JOIN ask{k} q ON q.src = s._id)"
+        )
+        last = f"s{k}"
+    return f"WITH {', '.join(tables)} SELECT _id, status::BIGINT AS status, who::BIGINT AS who, wealth::BIGINT AS wealth, level::BIGINT AS level FROM {last}"
+
+
+def moving_model(size: tuple[int, int]) -> Model:
+    """Rounds of movement: show cells, ask the best free neighbour, free cells take one, leave where taken."""
+    model = Model("moving")
+    cell = model.agent("cell")
+    for v in [*FIELD, "target"]:
+        cell.variable(v, "int64")
+    for name, variables in (("shown", ("id", "status", "level")), ("asked", ("target", "who", "wealth", "rate")), ("taken", ("who",))):
+        message = model.message(name, shape="grid", size=size)
+        for v in variables:
+            message.variable(v, "int64")
+    at = {"_ix": "ix", "_iy": "iy"}
+    near = {"at": ("ix", "iy"), "wrap": True}
+    model.layer(Function("show", "cell", emit=Emit("shown", at | {"id": "_id", "status": "status", "level": "level"})))
+    model.layer(Function(
+        "ask", "cell", condition="status = 2", read=Read("shown", {"best": "max_by(m.id, struct(m.level, m.id))"}, where="m.status = 0", **near),
+        set={"target": "coalesce(best, 0)", "status": "CASE WHEN best IS NULL THEN 1 ELSE 2 END"}, emit=Emit("asked", at | {v: v for v in ("target", "who", "wealth", "rate")}, when="status = 2"),
+    ))
+    model.layer(Function(
+        "take", "cell", condition="status = 0", read=Read("asked", {"won": "max(struct(m.who AS who, m.wealth AS wealth, m.rate AS rate))"}, where="m.target = a._id", **near),
+        set={"who": "coalesce(won.who, -1)", "wealth": "coalesce(won.wealth + level, 0)", "rate": "coalesce(won.rate, 0)", "status": "CASE WHEN won.who IS NULL THEN 0 ELSE 1 END", "level": "CASE WHEN won.who IS NULL THEN level ELSE -1 END"},
+        emit=Emit("taken", at | {"who": "who"}, when="status = 1"),
+    ))
+    gone = {"who": -1, "wealth": 0, "rate": 0, "level": 0, "status": 0}
+    model.layer(Function("leave", "cell", condition="status = 2", read=Read("taken", {"found": "count(m.who)"}, where="m.who = a.who", **near), set={v: f"CASE WHEN found > 0 THEN {x} ELSE {v} END" for v, x in gone.items()}))
+    model.exit_conditions.append(lambda w: w.step_count >= SUGAR_ROUNDS or w.population("cell").where("status = 2").isEmpty())
+    return model
+
+
+@query("sugarscape_model", sugar_sql())
+def sugarscape_model(spark, sf):
+    """A step of a sugar field: agents eat, starve or live, sugar grows back; then a submodel moves them until all are settled."""
+    rows = customers(spark, sf).selectExpr("_id", *[f"CAST({e} AS BIGINT) AS {n}" for n, e in FIELD.items()])
+    high = rows.agg(F.max("iy")).first()[0] + 1
+    model, inner = Model("sugar"), moving_model((WIDTH, high))
+    cell = model.agent("cell")
+    for v in FIELD:
+        cell.variable(v, "int64")
+    model.layer(Function("live", "cell", set=LIVE))
+    model.layer(submodel=model.submodel("moves", inner, agents={"cell": "cell"}, variables={"cell": {v: v for v in FIELD}}))
+    world = World(spark, model)
+    world.set_population("cell", rows)
+    world.step()
+    return world.population("cell").select("_id", "status", "who", "wealth", "level")
+
+
 # ---- many runs ------------------------------------------------------------------------------
 
 

@@ -93,7 +93,7 @@ def test_conditions_of_another_form_stay_pairs(spark):
     assert O.read_ordered(rows, rows, [], ENDS, "m.v <> a.v", kept=rows.columns) is None  # the least of all but some is no difference
 
 
-@pytest.mark.parametrize("name", ["brute_pairs", "bucket_range_hot"])
+@pytest.mark.parametrize("name", ["brute_pairs", "brute_theta", "bucket_range_hot"])
 def test_no_pairs_are_made(spark, data, name):
     """As rows of joins: at most a few for each reader and key."""
     plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()

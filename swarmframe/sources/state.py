@@ -17,7 +17,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ from ..operators import macros as M
 from ..operators.graphs import Graph
 from ..operators.population import ID
 from ..functions.rng import HostRandom
-from ..plans.world import macro_schema, World
+from ..plans.world import checkpoint_root, macro_schema, World
 from ..types import FLOATS, Variable
 
 #: How a value of each type is packed.
@@ -278,31 +278,67 @@ def import_macro(world: World, name: str, path: str) -> None:
 # ---- graphs -----------------------------------------------------------------------
 
 
+def finite(column: Column, kind: T.DataType) -> Column:
+    """Null for what JSON cannot hold, as ``plain`` does."""
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return F.when(~F.isnan(column) & (F.abs(column) < math.inf), column)
+    return F.transform(column, lambda x: finite(x, kind.elementType)) if isinstance(kind, T.ArrayType) else column
+
+
 def export_graph(graph: Graph, path: str) -> None:
-    """One JSON document: nodes with their id, links with source and target, all three as strings."""
+    """One JSON document: nodes with their id, links with source and target, all three as strings.
+
+    Each row has a line of its own. Executors sort and write the lines in the
+    cluster's folder; the driver only strings their files together, as bytes.
+    """
     suffix_of(path, (".json",))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"nodes":[')
-        for k, r in enumerate(graph.vertices.orderBy("id").toLocalIterator()):
-            row = r.asDict()
-            f.write(("," if k else "") + json.dumps({"id": str(row.pop("id"))} | {n: plain(v) for n, v in row.items()}))
-        f.write('],"links":[')
-        for k, r in enumerate(graph.edges.orderBy("source", "dest").toLocalIterator()):
-            row = r.asDict()
-            f.write(("," if k else "") + json.dumps({"source": str(row.pop("source")), "target": str(row.pop("dest"))} | {n: plain(v) for n, v in row.items()}))
-        f.write("]}")
+    spark = graph.vertices.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = f"{checkpoint_root(spark)}/graph-{os.urandom(8).hex()}"
+    at = hadoop.fs.Path(folder)
+    files = at.getFileSystem(conf)
+    target = hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for name, rows, keys, head in (("nodes", graph.vertices, {"id": "id"}, '{"nodes":[\n'), ("links", graph.edges, {"source": "source", "dest": "target"}, '],"links":[\n')):
+            values = [F.col(k).cast("string").alias(v) for k, v in keys.items()]
+            values += [finite(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in keys]
+            lines = rows.orderBy(*keys).select(F.concat(F.lit(","), F.to_json(F.struct(*values), {"ignoreNullFields": "false"})).alias("value"))
+            lines.write.text(f"{folder}/{name}")
+            out.write(bytearray(head, "utf-8"))
+            first = True
+            for part in sorted((x for x in files.listStatus(hadoop.fs.Path(f"{folder}/{name}")) if x.getPath().getName().startswith("part-") and x.getLen()), key=lambda x: (len(x.getPath().getName()), x.getPath().getName())):
+                read = files.open(part.getPath())
+                read.seek(1 if first else 0)  # no comma before the first row
+                hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+                read.close()
+                first = False
+        out.write(bytearray("]}\n", "utf-8"))
+    finally:
+        out.close()
+        files.delete(at, True)
 
 
 def import_graph(spark: SparkSession, path: str, vertices: dict[str, Variable], edges: dict[str, Variable]) -> Graph:
+    """A document with a line for each row, as ``export_graph`` writes it, is read in splits; any other as one value."""
     suffix_of(path, (".json",))
     text = lambda n: T.StructField(n, T.StringType())
-    schema = T.StructType([
-        T.StructField("nodes", T.ArrayType(T.StructType([text("id"), *[v.field() for v in vertices.values()]]))),
-        T.StructField("links", T.ArrayType(T.StructType([text("source"), text("target"), *[v.field() for v in edges.values()]]))),
-    ])
-    document = spark.read.schema(schema).json(path, multiLine=True)
-    v = document.select(F.explode("nodes").alias("r")).select("r.*").withColumn("id", F.col("id").cast("long"))
-    e = document.select(F.explode("links").alias("r")).select("r.*")
+    node = T.StructType([text("id"), *[v.field() for v in vertices.values()]])
+    link = T.StructType([text("source"), text("target"), *[v.field() for v in edges.values()]])
+    lines = spark.read.text(path)
+    head = [r["value"] for r in lines.head(2)]
+    if len(head) == 2 and head[0] == '{"nodes":[' and head[1].startswith(('{"id":', '],"links":[')):
+        row = F.when(F.col("value").startswith(","), F.expr("substring(value, 2)")).otherwise(F.col("value"))
+        bad = F.raise_error(F.concat(F.lit("not a row of a graph: "), F.substring("value", 1, 80))).cast("boolean")
+        kind = lambda begin: F.when(row.startswith(begin), F.lit(True)).when(row.startswith('{"id":') | row.startswith('{"source":') | F.col("value").isin('{"nodes":[', '],"links":[', "]}"), F.lit(False)).otherwise(bad)
+        taken = lambda begin, schema: lines.where(kind(begin)).select(F.from_json(row, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        v, e = taken('{"id":', node), taken('{"source":', link)
+    else:
+        schema = T.StructType([T.StructField("nodes", T.ArrayType(node)), T.StructField("links", T.ArrayType(link))])
+        document = spark.read.schema(schema).json(path, multiLine=True)
+        v = document.select(F.explode("nodes").alias("r")).select("r.*")
+        e = document.select(F.explode("links").alias("r")).select("r.*")
+    v = v.withColumn("id", F.col("id").cast("long"))
     e = e.withColumns({"source": F.col("source").cast("long"), "target": F.col("target").cast("long")}).withColumnRenamed("target", "dest")
     return Graph(v, e)
 

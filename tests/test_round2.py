@@ -1,11 +1,16 @@
 """Queries on rows that the small tables do not hold: sums at the edge of a digit, readers outside the bounds, ordered reads, large documents."""
 
+import json
+
 import pytest
 
 from swarmframe.errors import MessageError
 from swarmframe.operators import ordered as O
 from swarmframe.operators import shapes as S
+from swarmframe.operators.graphs import Graph
 from swarmframe.plans import catalogue
+from swarmframe.sources import state as IO
+from swarmframe.types import Variable
 
 
 def sql_rows(name: str, folder: str, *tables: str) -> list[tuple]:
@@ -98,3 +103,29 @@ def test_no_pairs_are_made(spark, data, name):
     """As rows of joins: at most a few for each reader and key."""
     plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and not [x for x in plan.splitlines() if "Join" in x and (" > " in x or " < " in x)]
+
+
+def test_graphs_are_read_line_by_line(spark, tmp_path):
+    """One valid document, a line for each row; other documents are read as before, and a line that is no row fails."""
+    nan = float("nan")
+    v = spark.createDataFrame([(1, 0.5, 'a\n,{"id":1}', [1.0, nan]), (2, nan, None, None)], "id long, w double, t string, p array<double>")
+    e = spark.range(500).selectExpr("1 + id % 2 AS source", "id AS dest", "-id AS c").repartition(7)
+    path = tmp_path / "g.json"
+    IO.export_graph(Graph(v, e), str(path))
+    held = json.loads(path.read_text())
+    assert held["nodes"] == [{"id": "1", "w": 0.5, "t": 'a\n,{"id":1}', "p": [1.0, None]}, {"id": "2", "w": None, "t": None, "p": None}]
+    assert [(int(x["source"]), int(x["target"]), x["c"]) for x in held["links"]] == sorted(map(tuple, e.collect()))
+    kinds = {"w": Variable("w")}, {"c": Variable("c", "int64")}
+    back = IO.import_graph(spark, str(path), *kinds)
+    assert "Generate" not in back.edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, e.collect())) and [r.w for r in back.vertices.orderBy("id").collect()] == [0.5, None]
+    for indent in (None, 1):
+        other = tmp_path / f"other{indent}.json"
+        other.write_text(json.dumps(held, indent=indent))
+        assert sorted(map(tuple, IO.import_graph(spark, str(other), *kinds).edges.collect())) == sorted(map(tuple, e.collect()))
+    IO.export_graph(Graph(v.limit(0), e.limit(0)), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == {"nodes": [], "links": []} and not IO.import_graph(spark, str(tmp_path / "none.json"), *kinds).edges.head(1)
+    broken = tmp_path / "broken.json"
+    broken.write_text(path.read_text().replace(',{"source":"2","target":"7"', '{,"source":"2","target":"7"'))
+    with pytest.raises(Exception, match="not a row of a graph"):
+        IO.import_graph(spark, str(broken), *kinds).edges.collect()

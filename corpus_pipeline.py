@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go."""
-    return language_id.keep_identified(docs, language_id.learn_languages(docs))
+    """Documents that are not clearly in one of the languages learned go: other languages, mixed ones, no language."""
+    return language_id.keep_identified(docs, language_id.learn_languages(docs), least_margin=language_id.LEAST_MARGIN)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,9 @@ UNKNOWN = "und"
 GRAM_BITS = 16
 #: Documented bounds of the fit: rows and landmarks of each language, and of all languages.
 PER_LANGUAGE, LANDMARKS, LABELLED, CENTRES = 300, 64, 20_000, 1024
-#: A document of the pipeline stays if its best language leads by so much or more.
-LEAST_MARGIN = 0.0
+#: A document of the pipeline stays if its best language leads by so much or more: 1 is the lead of a text that is all in
+#: one language, 0 that of one that is half in another or in none that was learned.
+LEAST_MARGIN = 0.5
 RIDGE = 1e-3
 BATCH = 64
 
@@ -202,7 +203,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     return append_columns(docs, fields, text_col, lambda: LanguageModel(*handle.value).scorer())
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, languages: frozenset[str] | None = None, least_margin: float = LEAST_MARGIN, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, languages: frozenset[str] | None = None, least_margin: float = 0.0, text_col: str = "text") -> DataFrame:
     """The documents whose language is known by ``least_margin`` or more (and among ``languages``, if given), as they were."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scored = identify_languages(rows, model)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from swarmframe.llm import language_id as LI
 from swarmframe.llm import license_scan as LS
 from swarmframe.llm import packing as PK
@@ -172,6 +173,21 @@ def test_every_language_is_learned(spark):
     assert np.mean([r.lang_pred == r.lang for r in found]) > 0.95
 
 
+def test_scores_decide_in_the_pipeline(spark, data):
+    """Texts in a language that was not learned, in two, or in none go; nearly all of one language stay."""
+    docs = table(spark, data, "documents")
+    of = {lang: max((r.text for r in docs.where(F.col("lang") == lang).collect() if r.text), key=len).split()[:150] for lang in ("en", "de", "fr")}
+    draw = random.Random(3)
+    salad = lambda letters: " ".join("".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(150))
+    odd_ones = [salad("αβγδεζηθικλμνξοπρστυφχψω"), salad("abcdefghijklmnopqrstuvwxyz"), " ".join(of["en"] + of["de"]), " ".join(of["fr"] + of["en"]), "7 7 a 7"]
+    more = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd_ones)], "doc_id long, text string")
+    both = docs.unionByName(more.select(*[F.col(c) if c in more.columns else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))
+    kept = corpus_pipeline.language(spark, both, data)
+    assert kept.columns == docs.columns
+    found = [r.doc_id for r in kept.collect()]
+    assert min(found) >= 0 and len(found) >= 0.9 * docs.count()
+
+
 def test_language_edges(spark, odd):
     none = LI.learn_languages(odd.limit(0))
     assert [r.lang_pred for r in LI.identify_languages(odd, none).collect()] == ["und"] * len(ODD)
